@@ -11,6 +11,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of the public tokenizer word_bpe_49k.
+VOCABULARY = 49_408
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents to token files of 16 bits an id, read back from the files."""
+    from .token_files import encode_to_files
+
+    return encode_to_files(_table(spark, sf_dir, "documents"), word_tokenizer(), VOCABULARY)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), 4096)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to 8 shards by their id."""
     from .sharding import assign_shards
@@ -19,7 +43,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_sharding": op8_sharding}
+    return {
+        "op1_bitpack": op1_bitpack,
+        "op4_packing": op4_packing,
+        "op8_sharding": op8_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
