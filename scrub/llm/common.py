@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,31 +41,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_bounds(docs: DataFrame, rows_per_chunk: int, id_col: str = "doc_id") -> list[int]:
-    """Ascending ids that cut the table into chunks of about ``rows_per_chunk`` rows.
+#: More chunks than this are not made; a chunk then holds more rows, which its task streams.
+MOST_CHUNKS = 8_192
 
-    Reads the id column only. What comes to the driver is one number for each chunk.
+
+@dataclass(frozen=True)
+class IdChunks:
+    """Cuts of a table into chunks of ascending ids. Null ids go first, into chunk 0.
+
+    ``bounds`` are ids of the table: the first ids of chunks 1, 2, ...; ``first`` is the first id of
+    all, None where there are null ids.
     """
-    n = docs.select(F.count(id_col)).first()[0]
-    chunks = -(-n // rows_per_chunk)
-    if chunks < 2:
-        return []
-    probs = [i / chunks for i in range(1, chunks)]
-    cuts = docs.select(F.percentile_approx(id_col, probs, max(10_000, 20 * chunks))).first()[0]
-    return sorted(set(cuts))
-
-
-def chunk_of(id_col: str | Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the id: chunks are in id order. Null ids go first, to chunk 0."""
-    col = F.col(id_col) if isinstance(id_col, str) else id_col
-
-    def split(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col >= F.lit(bounds[mid]), split(mid + 1, hi)).otherwise(split(lo, mid))
-
-    return split(0, len(bounds)).cast("int")
+
+    bounds: np.ndarray
+    first: int | None
+
+    def of(self, ids: pa.Array) -> np.ndarray:
+        low = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return np.searchsorted(self.bounds, low, "right").astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.bounds) + 1
+
+
+def id_chunks(docs: DataFrame, rows_per_chunk: int, id_col: str = "doc_id") -> IdChunks:
+    """Chunks of about ``rows_per_chunk`` rows. Reads the id column only; one number for each chunk comes to the driver."""
+    ids = F.col(id_col).cast("long")
+    n, first, nulls = docs.select(F.count(ids), F.min(ids), F.count_if(ids.isNull())).first()
+    chunks = min(MOST_CHUNKS, -(-n // rows_per_chunk))
+    cuts: list[int] = []
+    if chunks > 1:
+        cuts = docs.select(F.percentile_approx(ids, [i / chunks for i in range(1, chunks)], max(10_000, 20 * chunks))).first()[0]
+    return IdChunks(np.array(sorted({c for c in cuts if nulls or c != first}), np.int64), None if nulls else first)
 
 
 def partitions(spark: SparkSession) -> int:

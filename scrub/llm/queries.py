@@ -35,6 +35,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), 4096)
 
 
+def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of all documents, of their edited texts, and likenesses."""
+    from .winnow import compare_edited
+
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to 8 shards by their id."""
     from .sharding import assign_shards
@@ -46,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitpack": op1_bitpack,
         "op4_packing": op4_packing,
+        "op6_winnow": op6_winnow,
         "op8_sharding": op8_sharding,
     }
 

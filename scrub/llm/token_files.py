@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunk_of, id_bounds, materialize, partitions, scratch_path
+from .common import id_chunks, materialize, partitions, scratch_path
 from .tokens import crc32_of, encode_slice, pieces, slices
 
 MAGIC = b"IDB1"
@@ -154,7 +154,7 @@ class TokenFile:
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, rows_per_file: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write them below ``out`` in ascending id order; returns the table of files.
 
-    Columns of the result: chunk (files are in its order), path, n_docs, n_ids, base (ids in all files
+    Columns of the result: chunk and part (files are in their order), path, n_docs, n_ids, base (ids in all files
     before). Null texts count as empty: the end id alone. Null ids come first; rows with one id keep a
     stable order (by their packed ids). An empty table gives no file.
 
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int
     """
     spark = docs.sparkSession
     bits = bits_for(vocabulary)
-    bounds = id_bounds(docs, rows_per_file, id_col)
+    chunks = id_chunks(docs, rows_per_file, id_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(tokenizer)
@@ -173,29 +173,29 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int
             packed = ids.astype("<u2" if bits <= 16 else "<u4")
             width = packed.itemsize
             payload = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer((at * width).astype(np.int64)), pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("doc_id"), payload.cast(pa.binary())], ["chunk", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks.of(batch.column("doc_id"))), batch.column("doc_id"), payload.cast(pa.binary())], ["chunk", "doc_id", "ids"])
 
-    encoded = docs.select(chunk_of(id_col, bounds).alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "chunk int, doc_id long, ids binary")
-    dealt = encoded.repartition(min(len(bounds) + 1, partitions(spark) * 4), "chunk").sortWithinPartitions("chunk", "doc_id", "ids")
+    encoded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "chunk int, doc_id long, ids binary")
+    dealt = encoded.repartition(min(len(chunks), partitions(spark) * 4), "chunk").sortWithinPartitions("chunk", "doc_id", "ids")
     form = "<u2" if bits <= 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, writer, path, done = None, None, "", []
+        now, part, writer, path, done = None, 0, None, "", []
 
         def close() -> None:
             writer.close()
-            done.append((now, path, len(writer.doc_ids), writer.n))
+            done.append((now, part, path, len(writer.doc_ids), writer.n))
 
         for batch in batches:
-            chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if now != chunks[a]:
+                if now != chunk[a] or len(writer.doc_ids) >= 4 * rows_per_file:
                     if writer:
                         close()
-                    now = int(chunks[a])
+                    now, part = int(chunk[a]), part + 1 if now == chunk[a] else 0
                     path = f"{out}/{now:08d}-{uuid.uuid4().hex}.idb"
                     writer = TokenFileWriter(path, bits)
                 rows = batch.slice(a, b - a)
@@ -203,10 +203,10 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int
                 writer.add(rows.column("doc_id").to_pylist(), np.concatenate(data).astype(np.uint32), np.array([len(x) for x in data], np.int64))
         if writer:
             close()
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([x[0] for x in done], pa.int32()), "path": pa.array([x[1] for x in done], pa.string()), "n_docs": pa.array([x[2] for x in done], pa.int64()), "n_ids": pa.array([x[3] for x in done], pa.int64())})
+        yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in done], t) for i, (n, t) in enumerate((("chunk", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())))})
 
-    files = materialize(dealt.mapInArrow(write, "chunk int, path string, n_docs long, n_ids long"), "token-files")
-    before = W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    files = materialize(dealt.mapInArrow(write, "chunk int, part int, path string, n_docs long, n_ids long"), "token-files")
+    before = W.orderBy("chunk", "part").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 
