@@ -35,6 +35,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer(), 4096)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and components of those within 3 bits."""
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of all documents, of their edited texts, and likenesses."""
     from .winnow import compare_edited
@@ -53,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitpack": op1_bitpack,
         "op4_packing": op4_packing,
+        "op5_simhash": op5_simhash,
         "op6_winnow": op6_winnow,
         "op8_sharding": op8_sharding,
     }
