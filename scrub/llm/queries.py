@@ -49,6 +49,13 @@ def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of all documents and the verdict of the isolation forest."""
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to 8 shards by their id."""
     from .sharding import assign_shards
@@ -62,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
         "op6_winnow": op6_winnow,
+        "op7_quality": op7_quality,
         "op8_sharding": op8_sharding,
     }
 
