@@ -63,6 +63,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from labelled ones that aren't held out."""
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitpack": op1_bitpack,
@@ -71,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_winnow": op6_winnow,
         "op7_quality": op7_quality,
         "op8_sharding": op8_sharding,
+        "op10_toxicity": op10_toxicity,
     }
 
 
