@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import crc32_of, encode_slice, pieces, slices
 
+#: Rows that are ranked together at most, about; ranks of one length are added up over such parts.
+ROWS_PER_PART = 1_000_000
+
 Pattern = tuple[list[tuple[int, int]], int]
 
 
@@ -131,7 +134,9 @@ def pack_pieces(cut: DataFrame, size: int = 4096) -> DataFrame:
     Offsets in a sequence are gapless from 0. Rows of equal length are exchangeable, so that repeated
     rows and ties need no order. An empty table gives no rows.
     """
-    placed = materialize(cut.withColumn("_part", F.spark_partition_id()), "pieces")
+    stored = materialize(cut, "pieces")
+    parts = -(-stored.count() // ROWS_PER_PART)
+    placed = stored.withColumn("_part", F.pmod(F.xxhash64(*cut.columns), F.lit(max(1, parts))))
     counts = materialize(placed.groupBy("length", "_part").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(size + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most `size` rows
