@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,63 @@ def op1_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_files(_table(spark, sf_dir, "documents"), word_tokenizer(), VOCABULARY)
 
 
+def capture_log(pages: DataFrame) -> DataFrame:
+    """Archive records made from the pages: each page's response, and two revisits of its URL.
+
+    A page was captured at a time that its id gives, with an entity tag (three of four pages) or a
+    modification date as validator. The first revisit carries the page's own validators, the second,
+    some weeks later, those of an older state for one page in five and none for one in seven.
+    """
+    at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id") * 7919 % 8_640_000)
+    digest = F.sha2(F.coalesce(F.col("html"), F.lit("")), 256)
+    day = F.concat(F.lit("day "), (F.col("page_id") % 365).cast("string"))
+    tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
+
+    def headers(tag: Column, modified: Column, more: list[Column]) -> Column:
+        pairs = [F.struct(F.lit("ETag").alias("key"), tag.alias("value")), F.struct(F.lit("Last-Modified").alias("key"), modified.alias("value")), *more]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
+
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("key"), value.alias("value"))
+
+    own_tag, own_day = F.when(F.col("page_id") % 4 != 0, tag), F.when(F.col("page_id") % 3 != 0, day)
+    old = F.col("page_id") % 5 == 0
+    none = F.col("page_id") % 7 == 0
+    kinds = [
+        ("response", 200, 0, headers(own_tag, own_day, [pair("Content-Type", F.lit("text/html")), pair("Cache-Control", F.lit("max-age=60"))])),
+        ("revisit", 304, 86_400 * 3, headers(F.concat(F.lit("W/"), own_tag), own_day, [pair("Cache-Control", F.lit("max-age=600")), pair("Content-Type", F.lit("text/plain"))])),
+        ("revisit", 304, 86_400 * 25, headers(F.when(~none, F.when(old, F.lit('"old"')).otherwise(own_tag)), F.when(~none, own_day), [pair("Expires", day)])),
+    ]
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("type"), F.lit(s).alias("status"), F.lit(d).alias("delay"), h.alias("headers")) for i, (k, s, d, h) in enumerate(kinds)))
+    return pages.select("page_id", "url", at.alias("at"), digest.alias("digest"), F.explode(rows).alias("r")).select(
+        F.concat(F.format_string("%012d", "page_id"), F.lit("-"), F.col("r.i").cast("string")).alias("record_id"), "r.type", F.col("url").alias("uri"),
+        (F.col("at") + F.make_dt_interval(secs=F.col("r.delay").cast("decimal(18,6)"))).alias("date"), "r.status", "r.headers", F.when(F.col("r.type") == "response", F.col("digest")).alias("payload_digest"),
+    )
+
+
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All revisits of the capture log made from the pages, resolved to earlier responses."""
+    from .revisits import resolve
+
+    found = resolve(capture_log(_table(spark, sf_dir, "pages")))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.select(
+        F.substring("record_id", 1, 12).cast("long").alias("page_id"), "record_id", "canonical_url", "verdict", "match_id",
+        F.unix_seconds("date").alias("date_s"), F.unix_seconds("match_date").alias("match_s"), "payload_digest", F.array_join(entries, "\n").alias("headers"),
+    )
+
+
+#: Shares of languages and topics, and the exponent that shares of sources are raised to.
+MIX = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": {"prose": 0.8, "contact": 0.06, "legal": 0.05, "table": 0.05, "code": 0.04}}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and drawn uses of all documents for half of their tokens, raked to MIX."""
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), MIX, budget=0.5).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     from .packing import pack_documents
@@ -73,6 +131,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitpack": op1_bitpack,
+        "op2_revisits": op2_revisits,
+        "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
         "op6_winnow": op6_winnow,
