@@ -121,6 +121,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of all documents, by a network trained on all of them."""
+    from .pseudo_lm import pseudo_likelihood
+
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned from labelled ones that aren't held out."""
     from .toxicity import toxicity
@@ -138,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_winnow": op6_winnow,
         "op7_quality": op7_quality,
         "op8_sharding": op8_sharding,
+        "op9_pseudo_lm": op9_pseudo_lm,
         "op10_toxicity": op10_toxicity,
     }
 

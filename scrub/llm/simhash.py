@@ -218,3 +218,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, leaf: int =
     named = components(link_edges(distinct.filter("id is not null"), most, leaf))
     part = distinct.join(named, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(part, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
+    """Rows of ``docs`` whose id is the smallest of their component, all columns as they are.
+
+    Rows that repeat one id stay together: all of them, if it is the smallest. The ids that go are
+    joined back; texts meet them in a join that Spark may split where one side is skewed. Rows of null id
+    stay only if no other row of their component has an id.
+    """
+    found = near_duplicates(docs, width, most)
+    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
+    named = docs.filter("doc_id is not null").join(gone.filter("doc_id is not null"), "doc_id", "left_anti").select(*docs.columns)
+    return named if not gone.filter("doc_id is null").isEmpty() else named.unionByName(docs.filter("doc_id is null"))

@@ -302,3 +302,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled documents, score all. Null ids are never held out; an empty table gives no rows."""
     return score(docs, fit(docs, labels))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` whose text isn't predicted as toxic, all columns as they are. No shuffle."""
+
+    @F.pandas_udf("boolean")
+    def clean(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = Automaton(model.lexicon)
+        for texts in frames:
+            x = np.array([features(t, automaton) for t in texts]).reshape(-1, len(FEATURES))
+            yield pd.Series(model.score(x) < 0.3)
+
+    return docs.filter(clean(F.col("text")))
