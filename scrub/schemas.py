@@ -1,0 +1,15 @@
+"""Fixed schemas of the tables that operators take and return; nothing is inferred."""
+
+from __future__ import annotations
+
+FINDING = "struct<line:int,category:string,snippet:string,source:string>"
+FILES = "path string, content binary, size long, mtime_ns long, is_symlink boolean"
+PLAN = f"path string, size long, sha256 string, status string, reasons array<string>, findings array<{FINDING}>, total_findings int, personal_findings int"
+TERMS = "term string, category string"
+HASHES = "hash string"
+NAMES = "name string, kind string"
+REGISTRY = "path string, sha256 string"
+COMMITS = "repo_id string, commit string, author_name string, author_email string, committer_name string, committer_email string, message string"
+BLOBS = "repo_id string, sha string, content binary"
+BLOB_PATHS = "repo_id string, sha string, path string"
+STORE = "list string, value string"

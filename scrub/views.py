@@ -1,0 +1,88 @@
+"""Tables that queries derive from the given ones, as SQL text that Spark and DuckDB both run.
+
+The given tables hold few sensitive values, so values are planted: made from keys, in all formats,
+assembled here from parts so that no secret-looking literal stands in the code. ``{S}`` is the dialect's
+string type and ``{H}`` its SHA-256 in hex.
+"""
+
+from __future__ import annotations
+
+
+def dialect(sql: str, engine: str) -> str:
+    string, left, right = ("string", "sha2(", ", 256)") if engine == "spark" else ("varchar", "sha256(", ")")
+    out, rest = "", sql
+    while "{H:" in rest:
+        before, _, rest = rest.partition("{H:")
+        inner, _, rest = rest.partition(":H}")
+        out += f"{before}{left}{inner}{right}"
+    return (out + rest).replace("{S}", string)
+
+
+_K = "CASE WHEN c_custkey % 5 = 0 THEN '00000000000' ELSE lpad(cast(c_custkey * 7919 + 12345678901 AS {S}), 11, '0') END"
+
+#: One value of personal data for each customer; every fifth is a stand-in where zeros or an example domain make one.
+PERSONAL = f"""
+SELECT id, kind, label, value, concat(label, ' ', value, ' fim') AS text FROM (
+  SELECT id, n % 8 AS kind,
+    CASE n % 8 WHEN 0 THEN 'documento' WHEN 1 THEN 'empresa' WHEN 2 THEN 'autos' WHEN 3 THEN 'numero' WHEN 4 THEN 'fone' WHEN 5 THEN 'codigo' WHEN 6 THEN 'contato' ELSE 'host' END AS label,
+    CASE n % 8
+      WHEN 0 THEN concat(substr(k, 1, 3), '.', substr(k, 4, 3), '.', substr(k, 7, 3), '-', substr(k, 10, 2))
+      WHEN 1 THEN concat(substr(k, 1, 2), '.', substr(k, 3, 3), '.', substr(k, 6, 3), '/', substr(k, 1, 4), '-', substr(k, 9, 2))
+      WHEN 2 THEN concat(substr(k, 1, 7), '-', substr(k, 8, 2), '.', substr(k, 1, 4), '.', substr(k, 5, 1), '.', substr(k, 6, 2), '.', substr(k, 8, 4))
+      WHEN 3 THEN concat(k, substr(k, 1, 9))
+      WHEN 4 THEN concat('(', substr(k, 1, 2), ') ', substr(k, 3, 4), '-', substr(k, 7, 4))
+      WHEN 5 THEN concat(substr(k, 1, 5), '-', substr(k, 6, 3))
+      WHEN 6 THEN concat('user', substr(k, 3, 9), '@', CASE WHEN n % 5 = 0 THEN 'mail.example.com' ELSE concat('corp', substr(k, 9, 3), '.net') END)
+      ELSE concat('10.', cast(n % 200 AS {{S}}), '.', cast(n % 251 AS {{S}}), '.7') END AS value
+  FROM (SELECT concat('c', cast(c_custkey AS {{S}})) AS id, c_custkey AS n, {_K.replace("{S}", "{{S}}")} AS k FROM customer) q) p
+""".replace("{{S}}", "{S}")
+
+#: One credential, URL or path for each order.
+SECRETS = """
+SELECT id, kind, value, concat('conf', CASE WHEN n % 3 = 0 THEN chr(10) ELSE ' ' END, value, ' end') AS text FROM (
+  SELECT id, n, n % 14 AS kind, CASE n % 14
+    WHEN 0 THEN concat('gh', 'p_', substr(h, 1, 36))
+    WHEN 1 THEN concat('AK', 'IA', upper(substr(h, 1, 16)))
+    WHEN 2 THEN concat('sk', '-', substr(h, 1, 40))
+    WHEN 3 THEN concat('AI', 'za', substr(h, 1, 35))
+    WHEN 4 THEN concat('xo', 'xb-', substr(h, 1, 24))
+    WHEN 5 THEN concat('sk_', 'live_', substr(h, 1, 24))
+    WHEN 6 THEN concat('ey', 'J', substr(h, 1, 12), '.', substr(h, 13, 12), '.', substr(h, 25, 12))
+    WHEN 7 THEN concat('Bear', 'er ', substr(h, 1, 32))
+    WHEN 8 THEN concat('db_pass', 'word = ', chr(34), CASE WHEN n % 5 = 0 THEN 'changeme-' ELSE '' END, substr(h, 1, 12), chr(34))
+    WHEN 9 THEN concat('https', '://', 'svc:', substr(h, 1, 10), '@', 'db', substr(h, 1, 4), '.net/x')
+    WHEN 10 THEN concat('https', '://hooks.net/a?tok', 'en=', substr(h, 1, 16))
+    WHEN 11 THEN concat('pa', 't', substr(h, 1, 14), '.', h)
+    WHEN 12 THEN concat('/ho', 'me/u', substr(h, 1, 6))
+    ELSE concat('https', '://build', substr(h, 1, 4), '.corp/x') END AS value
+  FROM (SELECT concat('o', cast(o_orderkey AS {S})) AS id, o_orderkey AS n, {H:cast(o_orderkey AS {S}):H} AS h FROM orders) q) p
+"""
+
+#: A path for each document, over ignored, data and plain folders and all kinds of names.
+PATHS = """
+SELECT doc_id, concat(
+    CASE doc_id % 7 WHEN 0 THEN 'src/' WHEN 1 THEN 'app/node_modules/lib/' WHEN 2 THEN 'proj/Data/' WHEN 3 THEN '' WHEN 4 THEN 'docs/guide/' WHEN 5 THEN 'build/out/' ELSE 'lib/' END,
+    CASE WHEN doc_id % 29 = 0 THEN '.env' WHEN doc_id % 31 = 0 THEN '.env.example' WHEN doc_id % 37 = 0 THEN 'id_rsa' WHEN doc_id % 41 = 0 THEN '.gitignore'
+      ELSE concat(CASE WHEN doc_id % 13 = 0 THEN 'Client_Token' ELSE 'File' END, cast(doc_id AS {S}), CASE doc_id % 11
+        WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.JSON' WHEN 3 THEN '.csv' WHEN 4 THEN '.tar.gz' WHEN 5 THEN '.png' WHEN 6 THEN '.txt' WHEN 7 THEN '.sql' WHEN 8 THEN '' WHEN 9 THEN '.ipynb' ELSE '.html' END) END) AS path,
+  text FROM documents
+"""
+
+#: Snapshots of the documents: what was verified, and what is there now.
+BEFORE = "SELECT concat('f', cast(doc_id AS {S})) AS path, {H:text:H} AS sha256, cast(length(text) AS bigint) AS size, doc_id * 1000 AS mtime_ns FROM documents"
+NOW = """
+SELECT concat('f', cast(doc_id AS {S})) AS path, {H:CASE WHEN doc_id % 13 = 0 THEN concat(text, '!') ELSE text END:H} AS sha256,
+  cast(length(text) AS bigint) + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS size, doc_id * 1000 + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS mtime_ns FROM documents WHERE doc_id % 17 <> 0
+UNION ALL
+SELECT concat('f', cast(doc_id + 1000000000 AS {S})), {H:text:H}, cast(length(text) AS bigint), doc_id FROM documents WHERE doc_id % 19 = 0
+"""
+
+#: A commit for each order.
+COMMITS = """
+SELECT concat('r', cast(o_custkey % 20 AS {S})) AS repo_id, {H:cast(o_orderkey AS {S}):H} AS commit,
+  CASE o_orderkey % 5 WHEN 0 THEN concat(cast(o_custkey AS {S}), '+dev@', 'users.noreply.github.com') WHEN 1 THEN 'ana@corp.net' WHEN 2 THEN concat('dev@', 'users.noreply.github.com')
+    WHEN 3 THEN concat('7+dev@', 'users.noreply.github.com.evil.net') ELSE concat('12+a-b@', 'users.noreply.github.com') END AS author_email,
+  CASE o_orderkey % 3 WHEN 0 THEN 'ci@corp.net' ELSE concat('1+ci@', 'users.noreply.github.com') END AS committer_email,
+  CASE WHEN o_orderkey % 40 = 0 THEN concat('contact user', cast(o_orderkey AS {S}), '@corp.net') WHEN o_orderkey % 41 = 0 THEN concat('fix', chr(10), 'Co-authored-by: x')
+    WHEN o_orderkey % 43 = 0 THEN ' ' ELSE 'update build' END AS message, o_orderkey FROM orders
+"""
