@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ LINE_LIMIT = 5_000
 LINE_END = "\\r\\n|[\\n\\u000B\\f\\r\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def to_text(content: Column) -> Column:
     """UTF-8 bytes as text; bytes that aren't valid become U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))
@@ -23,7 +29,7 @@ def to_text(content: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Array of lines; a line end at the very end makes no empty line. Null text gives no lines."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bind(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def cut_line(line: Column) -> Column:

@@ -77,7 +77,7 @@ def audit_policy(files: DataFrame, usage_lines: tuple[str, ...] = (), entries: t
         F.when(F.col("licence"), "licence file present"),
         F.when(readme.isNull(), "README.md missing"),
         F.when(readme.isNotNull() & ~notice, "README lacks the notice"),
-        F.when(readme.isNotNull() & ~F.coalesce(F.trim(F.element_at(titles, -1)) == title, F.lit(False)), "README does not end with the usage section"),
+        F.when(readme.isNotNull() & ~F.coalesce(F.trim(F.get(titles, F.size(titles) - 1)) == title, F.lit(False)), "README does not end with the usage section"),
         *(F.when(readme.isNotNull() & ~readme.contains(line), f"README lacks a required line ({i + 1})") for i, line in enumerate(usage_lines)),
         F.when(F.col("ignore").isNull(), ".gitignore missing"),
         F.when(F.size(lacking) > 0, F.concat(F.lit(".gitignore lacks "), F.array_join(lacking, ", "))),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masking import hmac_sha256_20
-from ..functions.text import cut_line, normalize_words, split_lines
+from ..functions.text import bind, cut_line, normalize_words, split_lines
 
 PARTICLES = ("DA", "DE", "DO", "DAS", "DOS", "E", "D")
 #: Endings of company names, and words too common in them to identify one alone. Parameters of the functions below; fixed values.
@@ -96,7 +96,7 @@ def scan_protected(df: DataFrame, hashes: DataFrame, key: bytes | None, allow: D
     lines = F.transform(split_lines(F.col(text)), lambda x, i: F.struct((i + 1).alias("line"), cut_line(x).alias("t")))
     rows = df.select(F.col(id_col).alias("id"), F.explode(lines).alias("l")).select("id", "l.line", normalize_words(F.col("l.t")).alias("w")).filter(F.size("w") >= 2)
     # From here on a place has its window of words only, so that rows stay small whatever the line.
-    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, F.lit(WINDOW)).alias("w")))
+    windows = bind(F.col("w"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, F.lit(WINDOW)).alias("w"))))
     places = rows.select("id", "line", F.explode(windows).alias("p")).select("id", "line", "p.start", "p.w")
     if "pair" in hashes.columns:
         places = places.withColumn("pair", hmac_sha256_20(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))), key)).join(hashes.select("pair").distinct(), "pair", "left_semi")

@@ -58,7 +58,7 @@ def scan_terms(df: DataFrame, terms: DataFrame, id_col: str = "id", text: str =
         first = keyed.withColumn("token", F.coalesce(F.get(token(F.col("folded_term")), F.lit(0)), F.lit("")))
         words = lines.withColumn("token", F.explode(F.array_union(F.array_distinct(token(F.col("folded"))), F.array(F.lit("")))))
         escaped = F.concat(F.lit(f"(?i)(?<![{_EDGE}])\\Q"), F.replace(F.col("folded_term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?![{_EDGE}])"))
-        hits = words.join(first, "token").filter(F.col("folded").rlike(escaped)).select("id", "line", "term", "category")
+        hits = words.join(first, "token").filter(F.rlike(F.col("folded"), escaped)).select("id", "line", "term", "category")
     return hits.select("id", "line", F.sha2("term", 256).alias("term_key"), "category", _label(F.col("category")).alias("snippet"))
 
 
