@@ -92,7 +92,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: f
     ``repeat``, weights may pass 1 (such a document is used several times); without, they are
     clipped at 1. Draws depend on id and seed alone, so repeated rows are drawn alike; a null id is
     drawn like any other value. Texts without a word have no tokens and weight of their cell (0 if the cell
-    has none). An empty table gives no rows.
+    has none). An empty table gives no rows. A column mix_tokens that is there already is taken as the weights' tokens.
 
     Two scans, no shuffle of rows: cells are counted by partial aggregation, and come back as a
     broadcast of as many rows as there are cells, which is checked against MOST_CELLS.
@@ -105,7 +105,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], budget: f
         if isinstance(targets[n], dict):
             value = F.when(value.isin(list(targets[n])), value).otherwise(OTHER)
         parts[f"_mix_{n}"] = value
-    marked = docs.withColumns(parts | {"mix_tokens": words_of(F.col(text_col))})
+    tokens = F.col("mix_tokens") if "mix_tokens" in docs.columns else words_of(F.col(text_col))
+    marked = docs.withColumns(parts | {"mix_tokens": tokens})
     keys = list(parts)
     counted = marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens"))
     cells = [tuple(r) for r in counted.limit(MOST_CELLS + 1).collect()]

@@ -81,9 +81,12 @@ MIX = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "top
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights and drawn uses of all documents for half of their tokens, raked to MIX."""
-    from .mixing import mix
+    from .common import materialize
+    from .mixing import mix, topic_of, words_of
 
-    return mix(_table(spark, sf_dir, "documents"), MIX, budget=0.5).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies"))
+    # Topics and words are found in one scan; the rest works on the small table of them.
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), words_of(F.col("text")).alias("mix_tokens"))
+    return mix(materialize(docs, "mix"), MIX, budget=0.5).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
