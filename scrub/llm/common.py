@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,22 +16,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
+    machine, a temporary folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-")
     return root.rstrip("/")
 
 
+@lru_cache
+def _dropped_at_exit(app: str, folder: str) -> None:
+    """Have the application's folder deleted when Python ends, if Spark is still there."""
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            spark = SparkSession.getActiveSession()
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; everything of one application lies in one folder there."""
-    return f"{scratch_root(spark)}/scrub-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    folder = f"{scratch_root(spark)}/scrub-{app}"
+    _dropped_at_exit(app, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
