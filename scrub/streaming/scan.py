@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.content import findings_of
 from ..operators.patterns import scan_patterns
 from ..operators.redaction import redact
 
@@ -20,5 +21,5 @@ def redact_stream(stream: DataFrame, text: str) -> DataFrame:
 
 def findings_per_window(stream: DataFrame, time: str, text: str, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Findings by category and window of event time; rows later than ``late`` are dropped, windows close after that."""
-    found = scan_patterns(stream.withWatermark(time, late).withColumn("_id", F.struct(time)), "_id", text)
-    return found.groupBy(F.window(F.col(f"id.{time}"), width).alias("window"), "category").agg(F.count("*").alias("findings"))
+    found = stream.withWatermark(time, late).select(time, F.explode(findings_of(F.col(text))).alias("f"))
+    return found.groupBy(F.window(time, width).alias("window"), F.col("f.category").alias("category")).agg(F.count("*").alias("findings"))
