@@ -153,5 +153,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: DuckDB SQL of op2. The others learn, tokenize, or take checksums and hashes that SQL lacks; tests hold them against plain versions.
+OP2_SQL = r"""
+WITH log AS (
+  SELECT page_id, i, lpad(cast(page_id AS varchar), 12, '0') || '-' || i AS record_id, url AS uri, 1600000000 + page_id * 7919 % 8640000 + CASE i WHEN 0 THEN 0 WHEN 1 THEN 259200 ELSE 2160000 END AS date_s, sha256(coalesce(html, '')) AS digest,
+    CASE WHEN page_id % 4 <> 0 THEN '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' END AS tag, CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 365) END AS lm
+  FROM pages, (VALUES (0), (1), (2)) v(i)),
+parts AS (
+  SELECT *, regexp_replace(trim(uri), '#.*$', '') AS bare,
+    CASE WHEN i = 2 AND page_id % 7 = 0 THEN NULL WHEN i = 2 AND page_id % 5 = 0 THEN '"old"' WHEN i = 1 THEN 'W/' || tag ELSE tag END AS etag, CASE WHEN i = 2 AND page_id % 7 = 0 THEN NULL ELSE lm END AS modified FROM log),
+canon AS (
+  SELECT *, 'https://' || regexp_replace(regexp_replace(lower(regexp_extract(bare, '(?i)^https?://([^/?]+)', 1)), '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '(?i)^https?://[^/?]+([^?]*)', 1), '/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i)(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM parts) x),
+full_ AS (SELECT canonical_url, date_s, max(record_id) AS record_id FROM canon WHERE i = 0 GROUP BY ALL),
+near AS (
+  SELECT r.*, f.record_id AS match_id, f.date_s AS match_s FROM (SELECT * FROM canon WHERE i > 0) r ASOF LEFT JOIN full_ f ON r.canonical_url = f.canonical_url AND r.date_s > f.date_s),
+judged AS (
+  SELECT n.*, m.etag AS m_etag, m.modified AS m_modified, m.digest AS m_digest, CASE WHEN match_id IS NULL THEN 'missing'
+    WHEN n.etag IS NOT NULL AND m.etag IS NOT NULL THEN CASE WHEN regexp_replace(n.etag, '^W/', '') = m.etag THEN 'etag' ELSE 'changed' END
+    WHEN n.modified IS NOT NULL AND m.modified IS NOT NULL THEN CASE WHEN n.modified = m.modified THEN 'last-modified' ELSE 'changed' END ELSE 'unchecked' END AS verdict
+  FROM near n LEFT JOIN (SELECT * FROM canon WHERE i = 0) m ON m.record_id = n.match_id)
+SELECT page_id, record_id, canonical_url, verdict, match_id, date_s, match_s, CASE WHEN verdict NOT IN ('missing', 'changed') THEN m_digest END AS payload_digest,
+  CASE WHEN verdict NOT IN ('missing', 'changed') THEN array_to_string(list_filter(['cache-control: ' || CASE WHEN i = 1 THEN 'max-age=600' ELSE 'max-age=60' END, 'content-type: text/html', 'etag: ' || coalesce(etag, m_etag),
+    CASE WHEN i = 2 THEN 'expires: day ' || (page_id % 365) END, 'last-modified: ' || m_modified], lambda h: h IS NOT NULL), chr(10)) END AS headers
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_revisits": OP2_SQL}
