@@ -439,8 +439,12 @@ def test_assign_shards(spark, docs, rows):
 
 def test_codes_and_gradient_free_start():
     codes, counts = pseudo_lm.encode_words(pa.array([None, "", " a b ", "A"]))
-    assert counts.tolist() == [0, 0, 2, 1] and (codes != pseudo_lm.PAD).sum() == 3 and codes[codes != pseudo_lm.PAD][0] == codes[codes != pseudo_lm.PAD][2]
-    p = pseudo_lm.start(np.bincount(codes, minlength=pseudo_lm.CODES + 1)[: pseudo_lm.CODES])
+    assert counts.tolist() == [0, 0, 2, 1] and len(codes) == 3 and codes[0] == codes[2]
+    column = pa.array([b"", b"", codes[:2].tobytes(), codes[2:].tobytes()])
+    for part, want in ((column, [0, 0, 2, 1]), (column.slice(2), [2, 1]), (column.slice(0, 2), [0, 0])):
+        out, n = pseudo_lm.padded(part)
+        assert n.tolist() == want and len(out) == sum(want) + 2 * (len(want) + 1) and (out[out != pseudo_lm.PAD] == codes[: sum(want)]).all()
+    p = pseudo_lm.start(np.bincount(codes, minlength=pseudo_lm.CODES))
     assert (pseudo_lm.flatten(pseudo_lm.restore(pseudo_lm.flatten(p))) == pseudo_lm.flatten(p)).all()
 
 
