@@ -341,7 +341,7 @@ def gate_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey")
     wishes = _table(spark, sf_dir, "orders").select(
         n.alias("repo_id"), (n % 2 != 0).alias("report_passed"), F.when(n % 3 == 0, "https://github.com/a/b").otherwise("git@github.com:A/c.git").alias("remote_url"), F.lit("https://github.com/a/C/").alias("expected_url"),
-        F.when(n % 5 == 0, "PUBLIC").otherwise("PRIVATE").alias("visibility"), F.when(n % 7 == 0, "dev").otherwise("main").alias("branch"), F.when(n % 11 == 0, "publicar").otherwise("PUBLICAR").alias("approval"), F.lit("PUBLICAR").alias("expected_approval"),
+        F.when(n % 5 == 0, "PUBLIC").otherwise("PRIVATE").alias("visibility"), F.when(n % 7 == 0, "dev").otherwise("main").alias("branch"), F.when(n % 11 == 0, "approve").otherwise("APPROVE").alias("approval"), F.lit("APPROVE").alias("expected_approval"),
     )
     return audits.gate_push(wishes).select(F.col("repo_id").alias("id"), F.array_join("reasons", ";").alias("reasons"))
 
