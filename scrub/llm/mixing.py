@@ -22,7 +22,7 @@ def topic_of(text: Column) -> Column:
     return (
         F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty")
         .when(text.contains("Licensed under") | text.contains("Copyright"), "legal")
-        .when(text.rlike(r"[\w.]+@[\w-]+\.[\w.]+"), "contact")
+        .when(text.contains("@") & text.rlike(r"\w@[\w-]+\.\w"), "contact")
         .when(text.contains(" | "), "table")
         .when(text.contains("token = ") | text.contains("{") | text.contains("();"), "code")
         .otherwise("prose")
