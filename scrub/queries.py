@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.masking import mask_value
+from .functions.text import bind, normalize_words, slugify, split_lines
 from .operators import audits, content, media, names, paths, patterns, redaction, snapshots, terms
 from .oracles import KEY, PERSONAL_CATEGORIES, SECRET_CATEGORIES, URL_CATEGORIES
 from .plans import workflows
@@ -426,6 +427,42 @@ def history_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.audit_history(_commits(spark, sf_dir), texts, texts)
 
 
+@query
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = split_lines(F.col("text"))
+    longest = F.coalesce(F.array_max(F.transform(lines, lambda x: F.length(x))), F.lit(0))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("lines"), longest.alias("longest"))
+
+
+@query
+def word_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of each document's normalised words, and their number."""
+    words = normalize_words(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", bind(words, lambda w: F.struct(F.size(w).alias("words"), F.sha2(F.array_join(w, " "), 256).alias("hash"))).alias("n")).select("doc_id", "n.words", "n.hash")
+
+
+@query
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _people(spark, sf_dir).select("doc_id", slugify(F.col("name")).alias("slug"))
+
+
+@query
+def sensitive_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = content.inventory(_view(spark, sf_dir, PERSONAL).select(F.concat("id", F.lit(".py")).alias("path"), F.encode("text", "UTF-8").alias("content")))
+    return snapshots.sensitive_categories(_releasable(plan), audits.audit_commit_emails(_commits(spark, sf_dir)))
+
+
+@query
+def unverified_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.unverified_additions(_view(spark, sf_dir, NOW), _view(spark, sf_dir, BEFORE))
+
+
+@query
+def release_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = _view(spark, sf_dir, NOW)
+    return snapshots.left_out(_view(spark, sf_dir, BEFORE), now.filter("size % 2 = 0"), now.filter("size % 3 = 0"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: all findings of documents and planted values, counted by category."""
     return content.category_summary(patterns.scan_patterns(_personal_texts(spark, sf_dir)))
