@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.masking import mask_value
-from ..functions.text import cut_line, split_lines, to_text
+from ..functions.text import bind, cut_line, split_lines, to_text
 from .paths import classify_name, path_parts
 from .patterns import PATTERNS, PERSONAL, Pattern, any_hint, find_all
 
@@ -64,15 +64,15 @@ def inventory(files: DataFrame, patterns: list[Pattern] | None = None) -> DataFr
     rest = named.filter(~F.col("_name.status").eqNullSafe("EXCLUDE"))
     unread = F.struct(F.lit(False).alias("scan"), F.lit("REVIEW").alias("status"), F.lit("unreadable").alias("reason"))
     rest = rest.withColumn("_gate", F.when(F.col("content").isNull(), unread).otherwise(content_gate(F.col("content"), F.col("_name.status"))))
-    rest = rest.withColumn("_found", F.when(F.col("_gate.scan"), findings_of(to_text(F.col("content")), patterns=patterns)))
-    total = F.size(F.col("_found"))
-    personal = F.size(F.filter("_found", lambda f: f["category"].isin(*PERSONAL)))
-    verdict = classify_content(F.col("_name.status"), path_parts(F.col("path"))["ext"], F.length("content"), total, personal)
+    found = F.when(F.col("_gate.scan"), findings_of(to_text(F.col("content")), patterns=patterns))
+    summed = bind(found, lambda f: F.struct(F.slice(f, 1, FINDINGS_KEPT).alias("findings"), F.size(f).alias("total"), F.size(F.filter(f, lambda x: x["category"].isin(*PERSONAL))).alias("personal")))
+    # Generated, so that neither later columns nor filters pushed down from above scan the text again.
+    rest = rest.withColumn("_found", F.explode(F.array(summed)))
+    verdict = classify_content(F.col("_name.status"), path_parts(F.col("path"))["ext"], F.length("content"), F.col("_found.total"), F.col("_found.personal"))
     rest = rest.withColumn("_verdict", F.when(F.col("_gate.scan"), verdict).otherwise(F.struct(F.col("_gate.status").alias("status"), F.col("_gate.reason").alias("reason"))))
-    scanned = F.col("_gate.scan")
     rest = rest.select(
         "path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "_verdict.status", F.array_compact(F.array("_name.reason", "_verdict.reason")).alias("reasons"),
-        F.coalesce(F.slice("_found", 1, FINDINGS_KEPT), F.array().cast(FINDING)).alias("findings"), F.when(scanned, total).alias("total_findings"), F.when(scanned, personal).alias("personal_findings"),
+        F.coalesce("_found.findings", F.array().cast(FINDING)).alias("findings"), F.col("_found.total").alias("total_findings"), F.col("_found.personal").alias("personal_findings"),
     )
     return rest.unionByName(out)
 
