@@ -28,7 +28,10 @@ def query(f: Query) -> Query:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Scanning costs far more than reading, so a table of fewer splits than cores (one small file) is dealt out;
+    larger ones are read as they are."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
