@@ -6,8 +6,8 @@ to a fixed number of codes. The output layer has two steps, a class and a member
 prediction costs the square root of the codes. The network is written in numpy.
 
 Training is spread over the corpus: each partition trains from the same start on its own documents,
-each time on another part of their words as masked ones, and the parameters are averaged, weighted by
-words. What moves is parameters, a fixed size for each partition.
+in each round on another part of their words as masked ones, so that every word is a target once, and
+the parameters are averaged, weighted by words. What moves is parameters, a fixed size for each partition.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ PAD = CODES
 HIDDEN = 24
 #: Places of the context, seen from the word.
 WINDOW = (-2, -1, 1, 2)
-#: Rounds of training; in each, one of MASK words is masked, another one each time.
-ROUNDS, MASK = 2, 6
+#: Rounds of training; in each, one of ROUNDS words is masked, another one each time: all of them after the last.
+ROUNDS = 2
 BATCH = 8_192
 RATE = 0.2
 #: Parameter sets averaged in one task.
@@ -92,14 +92,38 @@ def start(counts: np.ndarray, seed: int = 3) -> Params:
     return p
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _log_chosen(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at its chosen place. Overwrites z."""
+    z -= z.max(1, keepdims=True)
+    out = z[np.arange(len(z)), chosen]
+    return out - np.log(np.exp(z, out=z).sum(1))
 
 
-def _hidden(p: Params, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    context = np.stack([codes[at + d] for d in WINDOW], 1)
-    return context, np.tanh((p["embed"][context] * p["place"]).sum(1) + p["hidden"])
+def _errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Softmax of each row, less 1 at its chosen place. Overwrites z."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(z)), chosen] -= 1
+    return z
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order that brings words of one class together, and (class, begin, end) of each class that occurs."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+
+
+def _hidden(p: Params, codes: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each place of the context its codes and their vectors; and the hidden layer."""
+    context = [codes[at + d] for d in WINDOW]
+    vectors = [p["embed"][c] for c in context]
+    h = vectors[0] * p["place"][0]
+    for v, place in zip(vectors[1:], p["place"][1:], strict=True):
+        h += v * place
+    h += p["hidden"]
+    return context, vectors, np.tanh(h, out=h)
 
 
 def log_probabilities(p: Params, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -107,16 +131,14 @@ def log_probabilities(p: Params, codes: np.ndarray, at: np.ndarray) -> np.ndarra
     out = np.empty(len(at), np.float32)
     for a in range(0, len(at), 4 * BATCH):
         part = at[a : a + 4 * BATCH]
-        _, h = _hidden(p, codes, part)
+        h = _hidden(p, codes, part)[2]
         cls, member = np.divmod(codes[part], MEMBERS)
-        log = _log_softmax(h @ p["class"] + p["class0"])[np.arange(len(part)), cls]
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                log[rows] += _log_softmax(h[rows] @ p["member"][c] + p["member0"][c])[np.arange(len(rows)), member[rows]]
-        out[a : a + len(part)] = log
+        order, runs = _by_class(cls)
+        h, cls, member = h[order], cls[order], member[order]
+        log = _log_chosen(h @ p["class"] + p["class0"], cls)
+        for c, i, j in runs:
+            log[i:j] += _log_chosen(h[i:j] @ p["member"][c] + p["member0"][c], member[i:j])
+        out[a + order] = log
     return out
 
 
@@ -134,36 +156,32 @@ class Trainer:
 
     def step(self, codes: np.ndarray, at: np.ndarray) -> None:
         p, n = self.p, len(at)
-        context, h = _hidden(p, codes, at)
+        order, runs = _by_class(codes[at] // MEMBERS)
+        at = at[order]
+        context, vectors, h = _hidden(p, codes, at)
         cls, member = np.divmod(codes[at], MEMBERS)
-        dz = np.exp(_log_softmax(h @ p["class"] + p["class0"]))
-        dz[np.arange(n), cls] -= 1
+        dz = _errors(h @ p["class"] + p["class0"], cls)
         dh = dz @ p["class"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                dm = np.exp(_log_softmax(h[rows] @ p["member"][c] + p["member0"][c]))
-                dm[np.arange(len(rows)), member[rows]] -= 1
-                dh[rows] += dm @ p["member"][c].T
-                self._update("member", h[rows].T @ dm / n * CLASSES, c)
-                self._update("member0", dm.sum(0) / n * CLASSES, c)
+        for c, i, j in runs:
+            dm = _errors(h[i:j] @ p["member"][c] + p["member0"][c], member[i:j])
+            dh[i:j] += dm @ p["member"][c].T
+            self._update("member", h[i:j].T @ dm / n * CLASSES, c)
+            self._update("member0", dm.sum(0) / n * CLASSES, c)
         self._update("class", h.T @ dz / n)
         self._update("class0", dz.sum(0) / n)
         da = dh * (1 - h * h)
         self._update("hidden", da.sum(0) / n)
-        self._update("place", np.stack([(da * p["embed"][context[:, d]]).sum(0) for d in range(len(WINDOW))]) / n)
-        flat = context.T.ravel()
-        grads = np.concatenate([da * p["place"][d] for d in range(len(WINDOW))])
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-        self._update("embed", np.add.reduceat(grads[order], first) / n * CLASSES, flat[order][first])
+        flat = np.concatenate(context)
+        columns = np.ascontiguousarray(da.T)  # a sum by code for each column: faster than for whole rows
+        grads = np.stack([np.bincount(flat, (column * place[:, None]).ravel(), CODES + 1) for column, place in zip(columns, p["place"].T, strict=True)], 1)
+        rows = np.flatnonzero(np.bincount(flat, minlength=CODES + 1))
+        self._update("place", np.stack([np.einsum("nk,nk->k", da, v) for v in vectors]) / n)
+        self._update("embed", (grads[rows] / n * CLASSES).astype(np.float32), rows)
         self.words += n
 
-    def learn(self, codes: np.ndarray, turn: int) -> None:
+    def learn(self, codes: np.ndarray, turn: int, rounds: int = ROUNDS) -> None:
         at = np.flatnonzero(codes != PAD)
-        at = at[(np.arange(len(at)) * 7 + at // 97) % MASK == turn % MASK]
+        at = at[(np.arange(len(at)) + at // 97) % rounds == turn]
         at = np.random.default_rng(len(codes)).permutation(at)
         for a in range(0, len(at), BATCH):
             self.step(codes, at[a : a + BATCH])
@@ -218,7 +236,7 @@ def _averaged(models: DataFrame) -> Params | None:
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Params:
-    """Train on all encoded documents; every partition takes part in every round."""
+    """Train on all words of all encoded documents; every partition takes part in every round."""
     p = start(code_counts(docs))
     for turn in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(p)  # 1.6 MB, whatever the corpus
@@ -226,7 +244,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Params:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(shared.value)
             for batch in slices(batches, "codes"):
-                trainer.learn(padded(batch.column("codes"))[0], turn)
+                trainer.learn(padded(batch.column("codes"))[0], turn, rounds)
             yield pa.RecordBatch.from_arrays([pa.array([trainer.words], pa.int64()), pa.array([flatten(trainer.p).tobytes()], pa.binary())], ["words", "params"])
 
         models = docs.mapInArrow(run, "words long, params binary").select(F.spark_partition_id().cast("long").alias("part"), "words", "params")

@@ -473,6 +473,19 @@ def test_model_learns_both_sides(spark):
     assert pseudo_lm.pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_every_word_is_a_target_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    codes = np.where(rng.random(5000) < 0.1, pseudo_lm.PAD, rng.integers(0, pseudo_lm.CODES, 5000)).astype(np.int32)
+    targets = []
+    monkeypatch.setattr(pseudo_lm.Trainer, "step", lambda self, codes, at: targets.extend(at.tolist()))
+    trainer = pseudo_lm.Trainer(pseudo_lm.start(np.ones(pseudo_lm.CODES)))
+    for turn in range(pseudo_lm.ROUNDS):
+        before = len(targets)
+        trainer.learn(codes, turn)
+        assert len(targets) > before
+    assert sorted(targets) == np.flatnonzero(codes != pseudo_lm.PAD).tolist()
+
+
 # 10 toxicity
 
 
