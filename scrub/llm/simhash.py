@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -202,6 +203,18 @@ def link_edges(distinct: DataFrame, most: int = 3, leaf: int = LEAF) -> DataFram
         rows = rows.join(parts, "node").select(F.xxhash64("node", "k", F.col("fp").bitwiseAND(F.col("mask"))).alias("node"), "fp", "id")
 
 
+def _groups(prints: DataFrame, most: int, leaf: int) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint; component_id is the smallest id of its component, null if no row there has one.
+
+    Nodes are the fingerprints themselves, so that those of null ids alone are linked like all others.
+    """
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    named = materialize(components(link_edges(distinct.select("fp", F.col("fp").alias("id")), most, leaf)), "components")
+    least = named.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("id").alias("least"))
+    linked = named.join(least, "component").select(F.col("node").alias("fp"), "least", F.lit(True).alias("linked"))
+    return distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, leaf: int = LEAF) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document.
 
@@ -214,20 +227,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, leaf: int =
     come together by partial aggregation.
     """
     prints = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    named = components(link_edges(distinct.filter("id is not null"), most, leaf))
-    part = distinct.join(named, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(part, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(_groups(prints, most, leaf), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of their component, all columns as they are.
 
     Rows that repeat one id stay together: all of them, if it is the smallest. The ids that go are
-    joined back; texts meet them in a join that Spark may split where one side is skewed. Rows of null id
-    stay only if no other row of their component has an id.
+    joined back; texts meet them in a join that Spark may split where one side is skewed. A row of null id
+    stays unless its own component has an id; such rows are known again by their fingerprint.
     """
-    found = near_duplicates(docs, width, most)
-    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
-    named = docs.filter("doc_id is not null").join(gone.filter("doc_id is not null"), "doc_id", "left_anti").select(*docs.columns)
-    return named if not gone.filter("doc_id is null").isEmpty() else named.unionByName(docs.filter("doc_id is null"))
+    prints = materialize(fingerprints(docs, width), "fingerprints")
+    groups = materialize(_groups(prints, most, LEAF), "groups")
+    gone = materialize(prints.filter("doc_id is not null").join(groups, "fp").filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    unnamed = prints.filter("doc_id is null").select("fp").distinct()
+    taken = materialize(unnamed.join(groups.filter("component_id is not null"), "fp").select("fp"), "taken")
+
+    @F.pandas_udf("long")
+    def fp_of(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash(x, width) for x in text], np.uint64).view(np.int64))
+
+    own = "_fp" + "_" * max(map(len, docs.columns))  # no column of docs
+    null_rows = docs.filter("doc_id is null").withColumn(own, fp_of("text"))
+    return named.unionByName(null_rows.join(taken.select(F.col("fp").alias(own)), own, "left_anti").select(*docs.columns))

@@ -291,6 +291,17 @@ def test_near_duplicates(spark, docs, rows):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(repeat).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
 
 
+def test_null_ids_are_decided_one_by_one(spark):
+    words = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnop", k=300))
+    far = "alone under a null id"
+    rows = [(1, words(1)), (None, words(1)), (None, words(2)), (None, far), (2, words(3))]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[3], rows[4]], key=str)
+    # a fingerprint that only a null id has links like any other: 7 - null - 9, two bits each time
+    prints = spark.createDataFrame([(7, 0), (None, 0b11 << 20), (9, 0b1111 << 20), (None, -1), (None, -2)], "doc_id long, fp long")
+    assert {r.fp: r.component_id for r in simhash._groups(prints, 3, 2048).collect()} == {0: 7, 3 << 20: 7, 15 << 20: 7, -1: None, -2: None}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100), (7, 3), (3, 7), (200, 201), (None, 5)] + [(500, i) for i in range(501, 700)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
