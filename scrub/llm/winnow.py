@@ -1,8 +1,8 @@
 """Fingerprints of whole texts by winnowing (Schleimer, Wilkerson and Aiken, 2003).
 
 Each k-gram of code points gets a hash that rolls along the text; of each window of w hashes the
-smallest is kept, of equal ones the rightmost, with its position. Two texts (of SHORT code points or
-more) that share a passage of w + k - 1 code points therefore share a fingerprint hash, wherever the
+smallest is kept, of equal ones the rightmost, with its position. Grams and windows are the same for all
+lengths, so that hashes of any two texts can be compared: two texts that share a passage of w + k - 1 code points therefore share a fingerprint hash, wherever the
 passage lies, and passages shorter than k share none but by chance.
 """
 
@@ -20,8 +20,8 @@ from .common import id_chunks, partitions
 
 K = 16
 WINDOW = 25
-#: Texts of fewer code points get shorter grams and windows, else one edit would change all of their few hashes.
-SHORT, SHORT_K, SHORT_WINDOW = 100, 6, 5
+#: Texts of fewer code points would get grams and windows of their own: none do, as their hashes would match no longer text's.
+SHORT = 0
 #: Odd base of the rolling hash modulo 2**64 and its inverse there.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -82,8 +82,6 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
 def fingerprint(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of a text, by position. An empty text has none; a shorter text than k one, of all of it."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(points) < SHORT:
-        k, w = min(k, SHORT_K), min(w, SHORT_WINDOW)
     if len(points) <= BLOCK:
         h = gram_hashes(points, k)
         at = _window_minima(h, w)

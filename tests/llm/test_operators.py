@@ -344,6 +344,16 @@ def test_shared_passage_is_always_found():
         assert len(np.intersect1d(winnow.fingerprint(a)[0], winnow.fingerprint(b)[0]))
 
 
+def test_likeness_across_lengths(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefgh ", k=140))
+    for n in (60, 95, 99, 100, 105):  # a beginning and the text, on either side of 100 code points
+        assert winnow.likeness(winnow.hash_set(text[:n]), winnow.hash_set(text[: n + 6])) > 0.4
+    rows = [(1, text[:120]), (2, "short"), (3, text[:99]), (4, text[:101])]
+    got = {r.doc_id: r for r in winnow.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_edited > 0.4 and got[3].near_next > 0.4  # the edited text of 1 has 95 code points
+
+
 @pytest.mark.parametrize("per_chunk", [1, 7, 1000])
 def test_compare_edited(spark, docs, rows, per_chunk):
     got = {r.doc_id: r for r in winnow.compare_edited(docs, per_chunk).collect()}
