@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import cut_line
 from .patterns import PATTERNS, Pattern, any_hint, find_all, scan_patterns
 from .terms import fold
 
@@ -25,12 +24,10 @@ PLACEHOLDERS = {
 
 
 def _replace_line(line: Column, placeholders: dict[str, str], patterns: list[Pattern]) -> Column:
-    """The line with its values replaced, longest first; what lies beyond the part that is scanned stays as it is."""
-    head = cut_line(line)
-    tail = F.substr(line, F.length(head) + 1)
+    """The whole line with its values replaced, longest first. The cut of long lines is for scans only."""
     by = F.create_map(*(F.lit(x) for pair in placeholders.items() for x in pair))
-    found = F.array_sort(find_all(head, patterns), lambda a, b: F.length(b["shown"]) - F.length(a["shown"]))
-    return F.concat(F.aggregate(found, head, lambda acc, f: F.replace(acc, f["shown"], F.coalesce(by[f["category"]], F.lit("YOUR_VALUE")))), tail)
+    found = F.array_sort(find_all(line, patterns), lambda a, b: F.length(b["shown"]) - F.length(a["shown"]))
+    return F.aggregate(found, line, lambda acc, f: F.replace(acc, f["shown"], F.coalesce(by[f["category"]], F.lit("YOUR_VALUE"))))
 
 
 def redact(df: DataFrame, text: str = "text", placeholders: dict[str, str] | None = None, patterns: list[Pattern] | None = None) -> DataFrame:
@@ -50,13 +47,13 @@ def redact(df: DataFrame, text: str = "text", placeholders: dict[str, str] | Non
 def redaction_log(df: DataFrame, id_col: str = "id", text: str = "text", placeholders: dict[str, str] | None = None, patterns: list[Pattern] | None = None) -> DataFrame:
     """(id, category, replaced, placeholder): how many values were replaced by what; never the value."""
     by = F.create_map(*(F.lit(x) for pair in (placeholders or PLACEHOLDERS).items() for x in pair))
-    counts = scan_patterns(df, id_col, text, patterns).groupBy("id", "category").agg(F.count("*").alias("replaced"))
+    counts = scan_patterns(df, id_col, text, patterns, cut=False).groupBy("id", "category").agg(F.count("*").alias("replaced"))
     return counts.withColumn("placeholder", F.coalesce(by[F.col("category")], F.lit("YOUR_VALUE")))
 
 
 def redaction_residual(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """Findings left in the redacted texts; a good set of placeholders leaves none."""
-    return scan_patterns(redact(df, text), id_col, text)
+    """Findings left anywhere in the redacted texts, long lines included; a good set of placeholders leaves none."""
+    return scan_patterns(redact(df, text), id_col, text, cut=False)
 
 
 def redact_terms(df: DataFrame, terms: list[str], text: str = "text", placeholder: str = "EXEMPLO_TERMO") -> DataFrame:

@@ -71,6 +71,15 @@ def test_redaction_leaves_nothing(spark):
     assert all(r.replaced >= 2 for r in log) and {r.category for r in log} == set(POSITIVE)
 
 
+def test_long_lines_are_redacted_whole(spark):
+    value, pad = "ana" + "@" + "corp.net", "w " * 4000
+    df = spark.createDataFrame([(1, pad + value + " end"), (2, pad[:4994] + value + " end")], "id long, text string")
+    out = {r.id: r.text for r in redact(df).collect()}
+    assert out == {1: pad + PLACEHOLDERS["email"] + " end", 2: pad[:4994] + PLACEHOLDERS["email"] + " end"}
+    assert redaction_residual(df).count() == 0
+    assert sorted((r.id, r.replaced) for r in redaction_log(df).collect()) == [(1, 1), (2, 1)]
+
+
 def test_redact_terms_keeps_the_rest(spark):
     df = spark.createDataFrame([("O Projeto AÇÃO e acao_1 mas não reação",)], "text string")
     assert redact_terms(df, ["ação"]).first().text == "O Projeto EXEMPLO_TERMO e EXEMPLO_TERMO_1 mas não reação"
