@@ -198,6 +198,12 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redact(_view(spark, sf_dir, SECRETS)).filter(~F.col("kind").isin(8, 9, 10)).select("id", "text")
 
 
+@query
+def redact_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and planted values of all kinds, redacted. No SQL: it can't express where matches overlap or are stand-ins."""
+    return redaction.redact(_secret_texts(spark, sf_dir)).select("id", "text")
+
+
 @query
 def redaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redaction_log(_personal_texts(spark, sf_dir))

@@ -93,3 +93,16 @@ def test_capped_summary(spark, n):
     found = scan_patterns(df)
     assert category_summary(found).first().findings == 50
     assert cap_findings(found, n).count() == n
+
+
+def test_all_documents_and_kinds_are_redacted(spark):
+    from scrub import queries
+    from scrub.views import SECRETS
+
+    path = "/root/testdata/sf0.001"
+    out = {r.id: r.text for r in queries.redact_all_texts(spark, path).collect()}
+    planted = queries._view(spark, path, SECRETS).collect()
+    assert len(out) == len(planted) + spark.read.parquet(f"{path}/documents.parquet").count()
+    assert {r.kind for r in planted} == set(range(14))
+    left = [r.id for r in planted if r.value in out[r.id] and "changeme" not in r.value]
+    assert left == []
