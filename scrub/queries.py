@@ -279,6 +279,16 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.gate_report(clean, True, who, none.select("path"), alerts, history, "PRIVATE", True, True)
 
 
+@query
+def release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's report on the real plan, folders, snapshots, policy problems and findings. No SQL is given."""
+    alerts, plan = audits.audit_commit_emails(_commits(spark, sf_dir)), _releasable(_plan(spark, sf_dir))
+    clean = snapshots.dataset_clean(plan, paths.prune_ignored_dirs(_view(spark, sf_dir, PATHS))[1])
+    intact = snapshots.diff_snapshot(_view(spark, sf_dir, BEFORE), _view(spark, sf_dir, NOW)).isEmpty()
+    categories = snapshots.sensitive_categories(plan, alerts)
+    return snapshots.gate_report(clean, intact, audits.audit_identity(_identities(spark, sf_dir)), policy_audit(spark, sf_dir), alerts, categories, "PRIVATE", True, True)
+
+
 @query
 def commit_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.audit_commit_emails(_commits(spark, sf_dir))

@@ -106,3 +106,12 @@ def test_all_documents_and_kinds_are_redacted(spark):
     assert {r.kind for r in planted} == set(range(14))
     left = [r.id for r in planted if r.value in out[r.id] and "changeme" not in r.value]
     assert left == []
+
+
+def test_release_report_counts_what_is_pending(spark):
+    from scrub import queries
+
+    path = "/root/testdata/sf0.001"
+    got, clean = queries.release_report(spark, path).first(), queries.dataset_clean(spark, path).first()
+    assert (got.pending, got.dirs) == (clean.pending, clean.dirs) and got.pending > 0 and not got.passed and not got.intact
+    assert got.policy_problems == queries.policy_audit(spark, path).count() > 0
