@@ -22,11 +22,13 @@ _OWN: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and everything runs on one
+    machine, as in tests, a temporary folder is made; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-")
     return root.rstrip("/")
@@ -63,24 +65,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id where ids are ordered.
+NULL_ID = -(1 << 63)
 #: More chunks than this are not made; a chunk then holds more rows, which its task streams.
 MOST_CHUNKS = 8_192
 
 
 @dataclass(frozen=True)
 class IdChunks:
-    """Cuts of a table into chunks of ascending ids. Null ids go first, into chunk 0.
+    """Cuts of a table into chunks of ascending (id, hash of the row). Null ids go first.
 
-    ``bounds`` are ids of the table: the first ids of chunks 1, 2, ...; ``first`` is the first id of
-    all, None where there are null ids.
+    ``bounds`` are ids in ascending order, a null as the lowest long. An id that is there m times is one of
+    so many rows that they fill chunks of their own: these are cut into m even ranges of their hashes.
     """
 
     bounds: np.ndarray
-    first: int | None
 
-    def of(self, ids: pa.Array) -> np.ndarray:
-        low = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        return np.searchsorted(self.bounds, low, "right").astype(np.int32)
+    def of(self, ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Chunks of rows by their ids and 64-bit hashes (signed; they order rows of one id)."""
+        low = pc.fill_null(ids, NULL_ID).to_numpy(zero_copy_only=False)
+        first, times = np.searchsorted(self.bounds, low, "left"), np.searchsorted(self.bounds, low, "right")
+        times -= first
+        upper = (hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of the signed hashes
+        return (first + (times > 0) * (1 + (upper * times.astype(np.uint64) >> np.uint64(32)).astype(np.int64))).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.bounds) + 1
@@ -88,13 +95,12 @@ class IdChunks:
 
 def id_chunks(docs: DataFrame, rows_per_chunk: int, id_col: str = "doc_id") -> IdChunks:
     """Chunks of about ``rows_per_chunk`` rows. Reads the id column only; one number for each chunk comes to the driver."""
-    ids = F.col(id_col).cast("long")
-    n, first, nulls = docs.select(F.count(ids), F.min(ids), F.count_if(ids.isNull())).first()
-    chunks = min(MOST_CHUNKS, -(-n // rows_per_chunk))
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    chunks = min(MOST_CHUNKS, -(-docs.count() // rows_per_chunk))
     cuts: list[int] = []
     if chunks > 1:
         cuts = docs.select(F.percentile_approx(ids, [i / chunks for i in range(1, chunks)], max(10_000, 20 * chunks))).first()[0]
-    return IdChunks(np.array(sorted({c for c in cuts if nulls or c != first}), np.int64), None if nulls else first)
+    return IdChunks(np.array(sorted(cuts), np.int64))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -26,10 +26,16 @@ Pattern = tuple[list[tuple[int, int]], int]
 
 
 class ComplementIndex:
-    """Counts by length, addressed by the length that is missing: sums of one, two or three lengths that fill a gap."""
+    """Tables addressed by the length that is missing: how many pieces have it, and which sums of two and of three lengths are there.
+
+    A sum stays in its table until a search for it fails; counts only fall, so it can't come back.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
+        there = (self.left > 0).astype(float)
+        two = np.convolve(there, there)[: len(there)] > 0.5
+        self.pairs, self.triples = two, np.convolve(two.astype(float), there)[: len(there)] > 0.5
 
     def take(self, lengths: list[int], times: int) -> None:
         for length, k in Counter(lengths).items():
@@ -41,24 +47,33 @@ class ComplementIndex:
 
     def pair(self, gap: int) -> list[int] | None:
         """Of all pairs that fill the gap the one of which most are there (ties: most unequal)."""
-        if gap < 2:
+        if gap < 2 or not self.pairs[gap]:
             return None
         a = np.arange(max(1, gap - len(self.left) + 1), gap // 2 + 1)
         there = np.minimum(self.left[a], self.left[gap - a])
         if gap % 2 == 0 and len(there):
             there[-1] = self.left[gap // 2] // 2
         best = int(np.argmax(there)) if len(there) else -1
-        return [int(gap - a[best]), int(a[best])] if best >= 0 and there[best] > 0 else None
+        if best >= 0 and there[best] > 0:
+            return [int(gap - a[best]), int(a[best])]
+        self.pairs[gap] = False
+        return None
 
     def triple(self, gap: int) -> list[int] | None:
-        """The first that fills the gap, the most frequent lengths tried first."""
+        """A length and a pair of the pair table that fill the gap, the most frequent lengths tried first."""
+        if gap < 3 or not self.triples[gap]:
+            return None
         lengths = np.flatnonzero(self.left[:gap])
+        lengths = lengths[self.pairs[gap - lengths]]
         for a in lengths[np.argsort(-self.left[lengths], kind="stable")].tolist():
             self.left[a] -= 1
+            known = self.pairs[gap - a]
             found = self.pair(gap - a)
             self.left[a] += 1
+            self.pairs[gap - a] = known  # it was searched without one piece that is there
             if found:
                 return [a, *found]
+        self.triples[gap] = False
         return None
 
     def exact(self, gap: int) -> list[int] | None:
@@ -129,37 +144,43 @@ def cut_documents(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str
 
 
 def pack_pieces(cut: DataFrame, size: int = 4096) -> DataFrame:
-    """Add sequence_id and offset to rows that have a ``length`` from 1 to ``size``; all other columns stay.
+    """Add sequence_id and offset to rows that have a ``length`` from 1 to ``size``; all other columns stay, whatever
+    their names; columns sequence_id and offset are replaced.
 
-    Offsets in a sequence are gapless from 0. Rows of equal length are exchangeable, so that repeated
-    rows and ties need no order. An empty table gives no rows.
+    Offsets in a sequence are gapless from 0. Rows of equal length, repeated rows among them, take places in the order
+    of a row number that is written with them, so that a task that runs again gives the same places. Nulls
+    in other columns do no harm. An empty table gives no rows.
     """
-    stored = materialize(cut, "pieces")
+    cut = cut.drop("sequence_id", "offset")
+    inner = "_" + "_" * max(map(len, cut.columns))  # begins no column's name
+    row, part, rank, first = (inner + x for x in ("row", "part", "rank", "base"))
+    stored = materialize(cut.withColumn(row, F.monotonically_increasing_id()), "pieces")
     parts = -(-stored.count() // ROWS_PER_PART)
-    placed = stored.withColumn("_part", F.pmod(F.xxhash64(*cut.columns), F.lit(max(1, parts))))
-    counts = materialize(placed.groupBy("length", "_part").agg(F.count("*").alias("n")), "lengths")
+    placed = stored.withColumn(part, F.pmod(F.xxhash64(row), F.lit(max(1, parts))))
+    counts = materialize(placed.groupBy("length", part).agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(size + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most `size` rows
         histogram[length] = n
     table = segments(plan(histogram, size))
-    before = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    ranked = placed.join(base, ["length", "_part"]).withColumn("_rank", F.col("_base") + F.row_number().over(W.partitionBy("length", "_part").orderBy(F.lit(0))) - 1)
+    before = W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    base = counts.select("length", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    ranked = placed.join(base, ["length", part]).withColumn(rank, F.col(first) + F.row_number().over(W.partitionBy("length", part).orderBy(row)) - 1)
     names = cut.columns
     keys = table["length"] << 44 | table["first"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
-            row = np.searchsorted(keys, length << 44 | rank, "right") - 1
-            seq, place = np.divmod(rank - table["first"][row], table["k"][row])
-            seq, place = table["sequence"][row] + seq, table["offset"][row] + place * length
+            length, ranks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", rank))
+            at = np.searchsorted(keys, length << 44 | ranks, "right") - 1
+            seq, place = np.divmod(ranks - table["first"][at], table["k"][at])
+            seq, place = table["sequence"][at] + seq, table["offset"][at] + place * length
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(place)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes)
-    return ranked.select(*names, "_rank").mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*names, rank).mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096) -> DataFrame:
-    """Cut and pack all documents. Null and empty texts are a document of the end id alone (length 1)."""
+    """Cut and pack all documents. Null and empty texts are a document of the end id alone (length 1). Rows of null id and
+    repeated rows are documents of their own; texts of any length are cut, none is left out; other columns are ignored."""
     return pack_pieces(cut_documents(docs, tokenizer, size), size)

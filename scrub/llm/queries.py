@@ -12,10 +12,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Of the public tokenizer word_bpe_49k.
-VOCABULARY = 49_408
-
-
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -25,16 +21,18 @@ def word_tokenizer() -> str:
 def op1_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to token files of 16 bits an id, read back from the files."""
     from .token_files import encode_to_files
+    from .tokens import vocabulary_of
 
-    return encode_to_files(_table(spark, sf_dir, "documents"), word_tokenizer(), VOCABULARY)
+    return encode_to_files(_table(spark, sf_dir, "documents"), word_tokenizer(), vocabulary_of(word_tokenizer()))
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """Archive records made from the pages: each page's response, and two revisits of its URL.
+    """Archive records made from the pages: each page's response, two "not modified" revisits of its URL, and one of an identical payload.
 
     A page was captured at a time that its id gives, with an entity tag (three of four pages) or a
     modification date as validator. The first revisit carries the page's own validators, the second,
-    some weeks later, those of an older state for one page in five and none for one in seven.
+    some weeks later, those of an older state for one page in five and none for one in seven. One page
+    in eleven has a header twice, in names of different case.
     """
     at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id") * 7919 % 8_640_000)
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")), 256)
@@ -52,14 +50,15 @@ def capture_log(pages: DataFrame) -> DataFrame:
     old = F.col("page_id") % 5 == 0
     none = F.col("page_id") % 7 == 0
     kinds = [
-        ("response", 200, 0, headers(own_tag, own_day, [pair("Content-Type", F.lit("text/html")), pair("Cache-Control", F.lit("max-age=60"))])),
-        ("revisit", 304, 86_400 * 3, headers(F.concat(F.lit("W/"), own_tag), own_day, [pair("Cache-Control", F.lit("max-age=600")), pair("Content-Type", F.lit("text/plain"))])),
-        ("revisit", 304, 86_400 * 25, headers(F.when(~none, F.when(old, F.lit('"old"')).otherwise(own_tag)), F.when(~none, own_day), [pair("Expires", day)])),
+        ("response", None, 200, 0, headers(own_tag, own_day, [pair("Content-Type", F.lit("text/html")), pair("Cache-Control", F.lit("max-age=60"))])),
+        ("revisit", "http://netpreserve.org/warc/1.1/revisit/server-not-modified", 304, 86_400 * 3, headers(F.concat(F.lit("W/"), own_tag), own_day, [pair("Cache-Control", F.lit("max-age=600")), pair("cache-control", F.when(F.col("page_id") % 11 == 0, "no-transform")), pair("Content-Type", F.lit("text/plain"))])),
+        ("revisit", None, 304, 86_400 * 25, headers(F.when(~none, F.when(old, F.lit('"old"')).otherwise(own_tag)), F.when(~none, own_day), [pair("Expires", day)])),
+        ("revisit", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", 200, 86_400 * 26, headers(own_tag, own_day, [])),
     ]
-    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("type"), F.lit(s).alias("status"), F.lit(d).alias("delay"), h.alias("headers")) for i, (k, s, d, h) in enumerate(kinds)))
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("type"), F.lit(p).cast("string").alias("profile"), F.lit(s).alias("status"), F.lit(d).alias("delay"), h.alias("headers")) for i, (k, p, s, d, h) in enumerate(kinds)))
     return pages.select("page_id", "url", at.alias("at"), digest.alias("digest"), F.explode(rows).alias("r")).select(
         F.concat(F.format_string("%012d", "page_id"), F.lit("-"), F.col("r.i").cast("string")).alias("record_id"), "r.type", F.col("url").alias("uri"),
-        (F.col("at") + F.make_dt_interval(secs=F.col("r.delay").cast("decimal(18,6)"))).alias("date"), "r.status", "r.headers", F.when(F.col("r.type") == "response", F.col("digest")).alias("payload_digest"),
+        (F.col("at") + F.make_dt_interval(secs=F.col("r.delay").cast("decimal(18,6)"))).alias("date"), "r.profile", "r.status", "r.headers", F.when(F.col("r.status") == 200, F.col("digest")).alias("payload_digest"),
     )
 
 
@@ -85,8 +84,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, topic_of, words_of
 
     # Topics and words are found in one scan; the rest works on the small table of them.
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), words_of(F.col("text")).alias("mix_tokens"))
-    return mix(materialize(docs, "mix"), MIX, budget=0.5).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), words_of(F.col("text")).alias("tokens"))
+    found = mix(materialize(docs, "mix"), MIX, budget=0.5, tokens_col="tokens")
+    return found.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "tokens", *(F.col(f"mix_{c}").alias(c) for c in ("weight", "copies", "residual")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +156,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB SQL of op2. The others learn, tokenize, or take checksums and hashes that SQL lacks; tests hold them against plain versions.
 OP2_SQL = r"""
 WITH log AS (
-  SELECT page_id, i, lpad(cast(page_id AS varchar), 12, '0') || '-' || i AS record_id, url AS uri, 1600000000 + page_id * 7919 % 8640000 + CASE i WHEN 0 THEN 0 WHEN 1 THEN 259200 ELSE 2160000 END AS date_s, sha256(coalesce(html, '')) AS digest,
+  SELECT page_id, i, lpad(cast(page_id AS varchar), 12, '0') || '-' || i AS record_id, url AS uri, 1600000000 + page_id * 7919 % 8640000 + CASE i WHEN 0 THEN 0 WHEN 1 THEN 259200 WHEN 2 THEN 2160000 ELSE 2246400 END AS date_s, sha256(coalesce(html, '')) AS digest,
     CASE WHEN page_id % 4 <> 0 THEN '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' END AS tag, CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 365) END AS lm
-  FROM pages, (VALUES (0), (1), (2)) v(i)),
+  FROM pages, (VALUES (0), (1), (2), (3)) v(i)),
 parts AS (
   SELECT *, regexp_replace(trim(uri), '#.*$', '') AS bare,
     CASE WHEN i = 2 AND page_id % 7 = 0 THEN NULL WHEN i = 2 AND page_id % 5 = 0 THEN '"old"' WHEN i = 1 THEN 'W/' || tag ELSE tag END AS etag, CASE WHEN i = 2 AND page_id % 7 = 0 THEN NULL ELSE lm END AS modified FROM log),
@@ -168,16 +168,17 @@ canon AS (
   FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i)(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept FROM parts) x),
 full_ AS (SELECT canonical_url, date_s, max(record_id) AS record_id FROM canon WHERE i = 0 GROUP BY ALL),
 near AS (
-  SELECT r.*, f.record_id AS match_id, f.date_s AS match_s FROM (SELECT * FROM canon WHERE i > 0) r ASOF LEFT JOIN full_ f ON r.canonical_url = f.canonical_url AND r.date_s > f.date_s),
+  SELECT r.*, f.record_id AS match_id, f.date_s AS match_s FROM (SELECT * FROM canon WHERE i IN (1, 2)) r ASOF LEFT JOIN full_ f ON r.canonical_url = f.canonical_url AND r.date_s > f.date_s),
 judged AS (
   SELECT n.*, m.etag AS m_etag, m.modified AS m_modified, m.digest AS m_digest, CASE WHEN match_id IS NULL THEN 'missing'
     WHEN n.etag IS NOT NULL AND m.etag IS NOT NULL THEN CASE WHEN regexp_replace(n.etag, '^W/', '') = m.etag THEN 'etag' ELSE 'changed' END
     WHEN n.modified IS NOT NULL AND m.modified IS NOT NULL THEN CASE WHEN n.modified = m.modified THEN 'last-modified' ELSE 'changed' END ELSE 'unchecked' END AS verdict
   FROM near n LEFT JOIN (SELECT * FROM canon WHERE i = 0) m ON m.record_id = n.match_id)
 SELECT page_id, record_id, canonical_url, verdict, match_id, date_s, match_s, CASE WHEN verdict NOT IN ('missing', 'changed') THEN m_digest END AS payload_digest,
-  CASE WHEN verdict NOT IN ('missing', 'changed') THEN array_to_string(list_filter(['cache-control: ' || CASE WHEN i = 1 THEN 'max-age=600' ELSE 'max-age=60' END, 'content-type: text/html', 'etag: ' || coalesce(etag, m_etag),
+  CASE WHEN verdict NOT IN ('missing', 'changed') THEN array_to_string(list_filter(['cache-control: ' || CASE WHEN i = 2 THEN 'max-age=60' WHEN page_id % 11 = 0 THEN 'max-age=600, no-transform' ELSE 'max-age=600' END, 'content-type: text/html', 'etag: ' || coalesce(etag, m_etag),
     CASE WHEN i = 2 THEN 'expires: day ' || (page_id % 365) END, 'last-modified: ' || m_modified], lambda h: h IS NOT NULL), chr(10)) END AS headers
 FROM judged
+UNION ALL SELECT page_id, record_id, canonical_url, 'other', NULL, date_s, NULL, digest, array_to_string(list_filter(['etag: ' || etag, 'last-modified: ' || modified], lambda h: h IS NOT NULL), chr(10)) FROM canon WHERE i = 3
 """
 
 

@@ -12,9 +12,9 @@ is compared one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,20 +32,26 @@ RUN = 32
 BLOCK = 1 << 16
 
 
-def simhash(text: str | None, width: int = 3) -> int:
-    """64-bit fingerprint: a bit is set if it is in over half of the hashes of the text's word shingles."""
+def shingle_bytes(text: str | None, width: int) -> Iterator[bytes]:
+    """The word shingles of a text, repeats included: A-Z in lower case, words joined by single blanks; one of all words where there are fewer than ``width``."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     width = min(width, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
-    stops = ends[width - 1 :]
-    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(stops)
-    for a in range(0, n, BLOCK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : a + BLOCK].tolist(), stops[a : a + BLOCK].tolist(), strict=True)], ">u8")
+    for s, e in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True):
+        yield joined[s:e]
+
+
+def simhash(text: str | None, width: int = 3) -> int:
+    """64-bit fingerprint: a bit is set if it is in over half of the hashes of the text's word shingles."""
+    digest, votes, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    shingles = shingle_bytes(text, width)
+    while len(h := np.array([digest(x, SEED) for x in islice(shingles, BLOCK)], ">u8")):
         votes += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
@@ -228,26 +234,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, leaf: int =
     """
     prints = materialize(fingerprints(docs, width), "fingerprints")
     return prints.join(_groups(prints, most, leaf), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of their component, all columns as they are.
-
-    Rows that repeat one id stay together: all of them, if it is the smallest. The ids that go are
-    joined back; texts meet them in a join that Spark may split where one side is skewed. A row of null id
-    stays unless its own component has an id; such rows are known again by their fingerprint.
-    """
-    prints = materialize(fingerprints(docs, width), "fingerprints")
-    groups = materialize(_groups(prints, most, LEAF), "groups")
-    gone = materialize(prints.filter("doc_id is not null").join(groups, "fp").filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    unnamed = prints.filter("doc_id is null").select("fp").distinct()
-    taken = materialize(unnamed.join(groups.filter("component_id is not null"), "fp").select("fp"), "taken")
-
-    @F.pandas_udf("long")
-    def fp_of(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(x, width) for x in text], np.uint64).view(np.int64))
-
-    own = "_fp" + "_" * max(map(len, docs.columns))  # no column of docs
-    null_rows = docs.filter("doc_id is null").withColumn(own, fp_of("text"))
-    return named.unionByName(null_rows.join(taken.select(F.col("fp").alias(own)), own, "left_anti").select(*docs.columns))

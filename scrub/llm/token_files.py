@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_chunks, materialize, partitions, scratch_path
+from .common import NULL_ID, id_chunks, materialize, scratch_path
 from .tokens import crc32_of, encode_slice, pieces, slices
 
 MAGIC = b"IDB1"
 #: Ids in a block; a multiple of 64.
 BLOCK = 1 << 14
-NULL_ID = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -155,16 +154,17 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int
     """Encode all texts and write them below ``out`` in ascending id order; returns the table of files.
 
     Columns of the result: chunk and part (files are in their order), path, n_docs, n_ids, base (ids in all files
-    before). Null texts count as empty: the end id alone. Null ids come first; rows with one id keep a
-    stable order (by their packed ids). An empty table gives no file.
+    before). Null texts count as empty: the end id alone. Null ids come first; rows with one id are in the order
+    of their texts' hashes, and of their packed ids. Texts of any length are written block by block. Other
+    columns are ignored. An empty table gives no file.
 
-    Texts are encoded where they are read; what is shuffled is the encoded ids, to chunks cut by id. A
-    task may run again after an executor is lost: each attempt writes a file of its own name, and the
+    Texts are encoded where they are read; what is shuffled is the encoded ids, to chunks cut by id, or by hash
+    within an id of many rows, one task for each. A task may run again after an executor is lost: each attempt writes a file of its own name, and the
     table, which is written once, names the files that count.
     """
-    spark = docs.sparkSession
     bits = bits_for(vocabulary)
     chunks = id_chunks(docs, rows_per_file, id_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(tokenizer)
@@ -173,10 +173,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int
             packed = ids.astype("<u2" if bits <= 16 else "<u4")
             width = packed.itemsize
             payload = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer((at * width).astype(np.int64)), pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([pa.array(chunks.of(batch.column("doc_id"))), batch.column("doc_id"), payload.cast(pa.binary())], ["chunk", "doc_id", "ids"])
+            hashes = batch.column("hash")
+            chunk = pa.array(chunks.of(batch.column("doc_id"), hashes.to_numpy()))
+            yield pa.RecordBatch.from_arrays([chunk, batch.column("doc_id"), hashes, payload.cast(pa.binary())], ["chunk", "doc_id", "hash", "ids"])
 
-    encoded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "chunk int, doc_id long, ids binary")
-    dealt = encoded.repartition(min(len(chunks), partitions(spark) * 4), "chunk").sortWithinPartitions("chunk", "doc_id", "ids")
+    encoded = docs.mapInArrow(encode, "chunk int, doc_id long, hash long, ids binary")
+    dealt = encoded.repartitionById(len(chunks), "chunk").sortWithinPartitions("chunk", "doc_id", "hash", "ids")
     form = "<u2" if bits <= 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +208,13 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, vocabulary: int
         yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in done], t) for i, (n, t) in enumerate((("chunk", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())))})
 
     files = materialize(dealt.mapInArrow(write, "chunk int, part int, path string, n_docs long, n_ids long"), "token-files")
+    # One row a file: some thousands at most, so that one task may order them.
     before = W.orderBy("chunk", "part").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the files, one task for a few files."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the files, as many tasks as files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +222,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 rows = [(doc, base + start, len(ids), crc32_of(ids)) for doc, start, ids in TokenFile(path).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("path", "base").repartition(partitions(files.sparkSession), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "base").repartition(max(1, files.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str, vocabulary: int, out: str | None = None) -> DataFrame:

@@ -86,6 +86,13 @@ class Pieces:
         return k
 
 
+def vocabulary_of(path: str) -> int:
+    """Ids that a tokenizer can give are below this."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 @lru_cache(1)
 def pieces(path: str) -> Pieces:
     """One for each Python worker, which Spark keeps for many tasks."""

@@ -2,8 +2,8 @@
 
 The lexicon comes from labelled documents: words, and stems that words begin with, which occur in
 toxic documents far more often than in others. It is kept as a trie. A Levenshtein automaton reads a
-word and walks the trie at the same time, so that all entries within one edit are found in one pass
-over the word's letters; the sets of places in the trie that a walk can be at are remembered as
+word and walks the trie at the same time, so that all entries within one edit (a letter left out, put in or
+replaced, or two neighbours swapped) are found in one pass over the word's letters, stems at the beginning of a word too; the sets of places in the trie that a walk can be at are remembered as
 states, hence each letter costs one look-up. What a hit counts for depends on the words around it:
 in quotation marks, or close after a word of saying, it is taken for quotation, not abuse.
 """
@@ -27,9 +27,9 @@ from .common import materialize
 
 #: Labelled documents that are learned from, at most, of each label: those of the smallest hashes of their ids.
 FIT_TOXIC, FIT_CLEAN = 4_000, 8_000
-#: Evidence an entry needs: lower bound of its log odds (3 standard errors), and entries kept at most.
-LEAST_ODDS, MOST_ENTRIES = 1.2, 2_000
-#: Letters of a stem, and of a word from which on one edit is allowed.
+#: Evidence an entry needs: lower bound of its log odds (3 standard errors).
+LEAST_ODDS = 1.2
+#: Letters of a stem, and of a word or stem from which on one edit is allowed.
 STEM, LONGEST_STEM, FUZZY = 3, 16, 5
 #: Words on either side that make up a hit's context.
 CONTEXT = 8
@@ -70,15 +70,17 @@ class Automaton:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.accepts: list[tuple[str, int] | None] = []
-        self.stemmed: list[str | None] = []
+        self.stemmed: list[tuple[str, int] | None] = []
         self.moves: list[dict[str, int]] = []
         self.dead = self._state(frozenset())
-        self.start = self._state(self._skips({(0, 0)}))
+        self.start = self._state(self._skips({(0, 0, "")}))
         self.seen: dict[str, tuple[str, str, float] | None] = {}
 
-    def _skips(self, places: set[tuple[int, int]]) -> frozenset:
+    # A place is (node, edits so far, letter that must come next or ""): the letter is the first of two that were swapped.
+
+    def _skips(self, places: set[tuple[int, int, str]]) -> frozenset:
         """With the places that a left-out letter leads to."""
-        return frozenset(places | {(k, 1) for node, e in places if e == 0 for k in self.kids[node].values()})
+        return frozenset(places | {(k, 1, "") for node, e, _ in places if e == 0 for k in self.kids[node].values()})
 
     def _state(self, places: frozenset) -> int:
         if places in self.states:
@@ -86,45 +88,52 @@ class Automaton:
         n = self.states[places] = len(self.members)
         self.members.append(places)
         self.moves.append({})
-        ends = [(e, self.word_at[node]) for node, e in places if node in self.word_at and (e == 0 or len(self.word_at[node]) >= FUZZY)]
+        ends = [(e, self.word_at[node]) for node, e, due in places if not due and node in self.word_at and (e == 0 or len(self.word_at[node]) >= FUZZY)]
         self.accepts.append(min(ends)[::-1] if ends else None)
-        stems = [self.stem_at[node] for node, e in places if e == 0 and node in self.stem_at]
-        self.stemmed.append(max(stems, key=len) if stems else None)
+        stems = [(-e, len(self.stem_at[node]), self.stem_at[node]) for node, e, due in places if not due and node in self.stem_at and (e == 0 or len(self.stem_at[node]) >= FUZZY)]
+        self.stemmed.append((max(stems)[2], -max(stems)[0]) if stems else None)
         return n
 
     def _move(self, state: int, c: str) -> int:
         new = set()
-        for node, e in self.members[state]:
+        for node, e, due in self.members[state]:
+            if due:
+                if c == due:
+                    new.add((node, 1, ""))
+                continue
             if c in self.kids[node]:
-                new.add((self.kids[node][c], e))
+                new.add((self.kids[node][c], e, ""))
             if e == 0:
-                new.add((node, 1))  # a letter too many
-                new.update((k, 1) for k in self.kids[node].values())  # another letter
+                new.add((node, 1, ""))  # a letter too many
+                new.update((k, 1, "") for k in self.kids[node].values())  # another letter
+                new.update((self.kids[k][c], 1, first) for first, k in self.kids[node].items() if first != c and c in self.kids[k])  # swapped
         to = self.moves[state][c] = self._state(self._skips(new))
         return to
 
     def find(self, word: str) -> tuple[str, str, float] | None:
-        """(kind, entry, weight) of the best entry for a lower-case word; kind is word, fuzzy or stem."""
+        """(kind, entry, weight) of the best entry for a lower-case word; kind is word, stem, or fuzzy for either with an edit."""
         if word in self.seen:
             return self.seen[word]
-        state, stem, dead = self.start, None, self.dead
+        state, stem, near, dead = self.start, None, None, self.dead
         for c in word:
-            stem = self.stemmed[state] or stem  # only of words that go on
+            if found := self.stemmed[state]:  # only of words that go on
+                stem, near = (stem, found[0]) if found[1] else (found[0], near)
             state = self.moves[state].get(c) or self._move(state, c)
             if state == dead:
                 break
         hit = self.accepts[state]
-        found: tuple[str, str, float] | None = None
+        near = near if near and len(word) > len(near) else None
+        best: tuple[str, str, float] | None = None
         if hit and hit[1] == 0:
-            found = ("word", hit[0], self.lexicon.words[hit[0]])
-        elif stem or hit:
-            kind, entry, weight = ("stem", stem, self.lexicon.stems[stem]) if stem else ("fuzzy", hit[0], self.lexicon.words[hit[0]])
+            best = ("word", hit[0], self.lexicon.words[hit[0]])
+        elif stem or hit or near:
+            kind, entry, weight = ("stem", stem, self.lexicon.stems[stem]) if stem else ("fuzzy", hit[0], self.lexicon.words[hit[0]]) if hit else ("fuzzy", near, self.lexicon.stems[near])
             weight = self.lexicon.known.get(word, weight)
-            found = (kind, entry, weight) if weight > LEAST_ODDS else None
+            best = (kind, entry, weight) if weight > LEAST_ODDS else None
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
-        self.seen[word] = found
-        return found
+        self.seen[word] = best
+        return best
 
 
 def terms_of(text: str) -> set[str]:
@@ -173,7 +182,7 @@ def choose_entries(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
         above = next(("^" + t[1:k] for k in range(STEM + 1, len(t)) if "^" + t[1:k] in taken), None)
         if t[0] == "^" and any(d.startswith("=" + t[1:]) and 2 * counts[d][0] >= counts[t][0] and weights[d][0] > weights[t][0] for d in strong):
             continue  # what speaks for the stem is one word
-        if t in taken or above and weights[t][0] < weights[above][0] + 1 or len(taken) >= MOST_ENTRIES:
+        if t in taken or above and weights[t][0] < weights[above][0] + 1:
             continue
         taken.add(t)
         (lexicon.words if t[0] == "=" else lexicon.stems)[t[1:]] = weights[t][0]
@@ -259,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clea
     counts = materialize(count_terms(rows), "terms")
     least = max(4, n_toxic // 500)
     candidates = counts.filter((F.col("toxic") >= least) & (F.col("toxic") / n_toxic > 3 * F.col("clean") / n_clean))
-    lexicon = choose_entries([tuple(r) for r in candidates.orderBy((F.col("toxic") / (F.col("clean") + 1)).desc(), "term").limit(50 * MOST_ENTRIES).collect()], n_toxic, n_clean)
+    # The fitted documents bound the number of terms, each of which at least four of them hold.
+    lexicon = choose_entries([tuple(r) for r in candidates.orderBy("term").collect()], n_toxic, n_clean)
     near = near_words(counts.filter((F.col("toxic") + F.col("clean") >= 2) & F.col("term").startswith("=")), lexicon)
     lexicon.known = {t[1:]: odds(a, b, n_toxic, n_clean)[0] for t, a, b in near.collect()}
 
@@ -300,7 +310,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled documents, score all. Null ids are never held out; an empty table gives no rows."""
+    """Fit on the labelled documents, score all. Null ids are never held out; null and empty texts have the score of a text without
+    hits; repeated rows each come back, with one score; texts of any length are read whole; other columns are
+    ignored. An empty table gives no rows."""
     return score(docs, fit(docs, labels))
 
 

@@ -2,8 +2,9 @@
 
 Each k-gram of code points gets a hash that rolls along the text; of each window of w hashes the
 smallest is kept, of equal ones the rightmost, with its position. Grams and windows are the same for all
-lengths, so that hashes of any two texts can be compared: two texts that share a passage of w + k - 1 code points therefore share a fingerprint hash, wherever the
-passage lies, and passages shorter than k share none but by chance.
+lengths, so that hashes of any two texts can be compared: two texts that share a passage of
+w + k - 1 code points share a fingerprint hash, wherever the passage lies, and passages shorter
+than k share none but by chance.
 """
 
 from __future__ import annotations
@@ -12,16 +13,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_chunks, partitions
+from .common import NULL_ID, id_chunks
 
 K = 16
 WINDOW = 25
-#: Texts of fewer code points would get grams and windows of their own: none do, as their hashes would match no longer text's.
-SHORT = 0
 #: Odd base of the rolling hash modulo 2**64 and its inverse there.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -108,9 +108,16 @@ def as_text(hashes: np.ndarray) -> str:
     return hashes.astype(">u4").tobytes().hex()
 
 
+def placed_set(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprint hashes, cut to their upper 32 bits, ascending, and the first position of each."""
+    hashes, places = fingerprint(text, k, w)
+    distinct, first = np.unique((hashes >> np.uint64(32)).astype(np.uint32), return_index=True)
+    return distinct, places[first]
+
+
 def hash_set(text: str, k: int = K, w: int = WINDOW) -> np.ndarray:
-    """Distinct fingerprint hashes, cut to their upper 32 bits, ascending."""
-    return np.unique((fingerprint(text, k, w)[0] >> np.uint64(32)).astype(np.uint32))
+    """The hashes of ``placed_set``."""
+    return placed_set(text, k, w)[0]
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,47 +139,64 @@ def compare_edited(docs: DataFrame, rows_per_chunk: int = 2_000, k: int = K, w:
     """Fingerprint of each text, of the text with its last quarter replaced by the next document's beginning, and likenesses.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    n_hashes. Order is by doc_id, null ids first, ties by text; after the last row comes the first.
-    Null texts count as empty; two empty fingerprints have likeness 1. An empty table gives no rows.
-
-    Texts are shuffled once, to chunks of ascending ids; the first row of each chunk also goes to
-    the end of the chunk before, so that each task knows every row's next without other tasks.
+    n_hashes, positions (of each hash of ``fingerprint``, in its order, the first place that it was kept at). Order is
+    by doc_id, null ids first, ties by the texts' hashes; after the last row comes the first.
+    Null texts count as empty; two empty fingerprints have likeness 1. Texts of any length are hashed block by
+    block. Other columns are ignored. An empty table gives no rows.
+
+    Texts are shuffled once, to chunks of ascending ids (of hashes, within an id of very many rows), one task
+    for each; the first row of each chunk also goes to the end of the chunk before, so that each task knows every row's
+    next without other tasks.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     chunks = id_chunks(docs, rows_per_chunk)
-    bounds, first = chunks.bounds, chunks.first
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least (id, hash) of each chunk in each batch."""
+        for batch in batches:
+            hashes = batch.column("hash").to_numpy()
+            frame = pd.DataFrame({"chunk": chunks.of(batch.column("doc_id"), hashes), "id": batch.column("doc_id").fill_null(NULL_ID).to_numpy(), "hash": hashes})
+            least = frame.sort_values(["chunk", "id", "hash"], kind="stable").drop_duplicates("chunk")
+            yield pa.RecordBatch.from_pandas(least, preserve_index=False)
+
+    # A row for each chunk comes to the driver; chunks without rows have none, and the chunk before such a one takes the next that has.
+    least = docs.select("doc_id", "hash").mapInArrow(place, "chunk int, id long, hash long").groupBy("chunk").agg(F.min(F.struct("id", "hash")).alias("m"))
+    firsts = [(r.chunk, r.m.id, r.m.hash) for r in least.orderBy("chunk").collect()]
+    before = {c: firsts[i - 1][0] for i, (c, _, _) in enumerate(firsts)}
+    starts = {(i, h): c for c, i, h in firsts}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            chunk = chunks.of(ids)
-            begins = np.isin(ids.to_numpy(zero_copy_only=False), bounds) if ids.null_count == 0 else np.array([x is not None and x in bounds for x in ids.to_pylist()])
-            begins |= np.array([x == first for x in ids.to_pylist()])
-            again = np.flatnonzero(begins)
+            hashes, ids = batch.column("hash").to_numpy(), batch.column("doc_id")
+            chunk = chunks.of(ids, hashes)
+            low = ids.fill_null(NULL_ID).to_numpy()
+            maybe = np.flatnonzero(np.isin(hashes, [h for _, h in starts])).tolist()
+            again = np.array([r for r in maybe if (int(low[r]), int(hashes[r])) in starts], np.int64)
             rows = pa.array(np.concatenate([np.arange(len(batch)), again]))
-            to = np.concatenate([chunk, (chunk[again] - 1) % (len(bounds) + 1)]).astype(np.int32)
+            to = np.concatenate([chunk, [before[c] for c in chunk[again].tolist()]]).astype(np.int32)
             copy = np.arange(len(rows)) >= len(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(copy), ids.take(rows), batch.column("text").take(rows)], ["chunk", "copy", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(copy), *(batch.column(c).take(rows) for c in ("doc_id", "hash", "text"))], ["chunk", "copy", "doc_id", "hash", "text"])
 
-    chunked = docs.mapInArrow(deal, "chunk int, copy boolean, doc_id long, text string")
-    dealt = chunked.repartition(min(len(chunks), partitions(spark) * 4), "chunk").sortWithinPartitions("chunk", "copy", "doc_id", "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long"
+    chunked = docs.mapInArrow(deal, "chunk int, copy boolean, doc_id long, hash long, text string")
+    dealt = chunked.repartitionById(len(chunks), "chunk").sortWithinPartitions("chunk", "copy", "doc_id", "hash", "text")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, positions array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        last = None  # (doc_id, text, hashes) that waits for its next
+        last = None  # (chunk, (doc_id, text, hashes, positions)) that waits for its next
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes", "positions"]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
 
         def pair(now: tuple, text: str, hashes: np.ndarray) -> None:
-            doc, own, own_hashes = now
+            doc, own, own_hashes, places = now
             n = len(own) // 4
             edited = own[: len(own) - n] + text[:n]
             edited_hashes = hash_set(edited, k, w)
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((doc, len(own), sha, as_text(own_hashes), as_text(edited_hashes), likeness(own_hashes, edited_hashes), likeness(own_hashes, hashes), len(own_hashes)))
+            out.append((doc, len(own), sha, as_text(own_hashes), as_text(edited_hashes), likeness(own_hashes, edited_hashes), likeness(own_hashes, hashes), len(own_hashes), places))
 
         def ready() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_hashes"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
             out.clear()
             return batch
 
@@ -181,12 +205,12 @@ def compare_edited(docs: DataFrame, rows_per_chunk: int = 2_000, k: int = K, w:
             chunk, copy, ids, texts = cols
             for i in range(len(batch)):
                 c, is_copy, text = chunk[i].as_py(), copy[i].as_py(), texts[i].as_py()
-                hashes = hash_set(text, k, w)
+                hashes, places = placed_set(text, k, w)
                 if last and last[0] == c:
                     pair(last[1], text, hashes)
                     last = None
                 if not is_copy:
-                    last = (c, (ids[i].as_py(), text, hashes))
+                    last = (c, (ids[i].as_py(), text, hashes, places))
                 if len(out) >= 256:
                     yield ready()
         if out:
