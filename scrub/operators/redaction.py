@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .patterns import PATTERNS, Pattern, any_hint, find_all, scan_patterns
+from .patterns import PATTERNS, Pattern, any_hint, find_spans, lines_of, scan_patterns
 from .terms import fold
 
 #: Category -> what stands in its place; a parameter of the functions below.
@@ -23,17 +23,24 @@ PLACEHOLDERS = {
 }
 
 
-def _replace_line(line: Column, placeholders: dict[str, str], patterns: list[Pattern]) -> Column:
-    """The whole line with its values replaced, longest first. The cut of long lines is for scans only."""
+def _placeholder(placeholders: dict[str, str], category: Column) -> Column:
     by = F.create_map(*(F.lit(x) for pair in placeholders.items() for x in pair))
-    found = F.array_sort(find_all(line, patterns), lambda a, b: F.length(b["shown"]) - F.length(a["shown"]))
-    return F.aggregate(found, line, lambda acc, f: F.replace(acc, f["shown"], F.coalesce(by[f["category"]], F.lit("YOUR_VALUE"))))
+    return F.coalesce(by[category], F.lit("YOUR_VALUE"))
+
+
+def _replace_line(line: Column, placeholders: dict[str, str], patterns: list[Pattern]) -> Column:
+    """The whole line with its values replaced where they stand. The cut of long lines is for scans only."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    rest = lambda s: F.substr(line, s["at"] + 1, F.length(line) - s["at"])
+    step = lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["text"], F.substr(line, s["at"] + 1, x["start"] - s["at"]), _placeholder(placeholders, x["category"])).alias("text"))
+    return F.aggregate(find_spans(line, patterns), start, step, lambda s: F.concat(s["text"], rest(s)))
 
 
 def redact(df: DataFrame, text: str = "text", placeholders: dict[str, str] | None = None, patterns: list[Pattern] | None = None) -> DataFrame:
     """The table with found values in ``text`` replaced, line ends and all else unchanged. Null stays null. No shuffle.
 
-    Texts in which no pattern's hint is found pass as they are.
+    A value is replaced where it was found and nowhere else: ``password = "password"`` keeps its name. Texts in
+    which no pattern's hint is found pass as they are.
     """
     places, patterns = placeholders or PLACEHOLDERS, patterns or PATTERNS
     # Line ends are kept as elements of their own.
@@ -45,10 +52,12 @@ def redact(df: DataFrame, text: str = "text", placeholders: dict[str, str] | Non
 
 
 def redaction_log(df: DataFrame, id_col: str = "id", text: str = "text", placeholders: dict[str, str] | None = None, patterns: list[Pattern] | None = None) -> DataFrame:
-    """(id, category, replaced, placeholder): how many values were replaced by what; never the value."""
-    by = F.create_map(*(F.lit(x) for pair in (placeholders or PLACEHOLDERS).items() for x in pair))
-    counts = scan_patterns(df, id_col, text, patterns, cut=False).groupBy("id", "category").agg(F.count("*").alias("replaced"))
-    return counts.withColumn("placeholder", F.coalesce(by[F.col("category")], F.lit("YOUR_VALUE")))
+    """(id, category, replaced, placeholder): how many places were replaced by what; never the value. A place that several
+    patterns match counts once."""
+    patterns = patterns or PATTERNS
+    rows = lines_of(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", any_hint(patterns), cut=False)
+    counts = rows.select("id", F.explode(find_spans(F.col("line_text"), patterns)).alias("s")).groupBy("id", F.col("s.category").alias("category")).agg(F.count("*").alias("replaced"))
+    return counts.withColumn("placeholder", _placeholder(placeholders or PLACEHOLDERS, F.col("category")))
 
 
 def redaction_residual(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
