@@ -9,12 +9,17 @@ from ..functions.text import to_text
 from .content import BINARY_PROBE
 from .paths import classify_name
 from .patterns import scan_patterns
+from .terms import scan_terms
 
 NOREPLY = r"^[0-9]+\+[A-Za-z0-9][A-Za-z0-9-]{0,38}@users\.noreply\.github\.com$"
 #: What a policy asks for; parameters of ``audit_policy``, fixed values.
 IGNORE_ENTRIES = (".env", ".env.*", "!.env.example", "*.pem", "*.key", "*.pfx", "*.p12", "*.db", "*.sqlite*", "*.log", "credentials*", "secrets*", "cookies*")
 NOTICE_WORDS = ("fictício", "sanitizad")
 USAGE_TITLE = "## Uso"
+USAGE_LINES = (
+    "Este repositório é disponibilizado como portfólio e demonstração técnica.",
+    "Não é concedida permissão para copiar, modificar, distribuir ou reutilizar este código sem autorização do autor.",
+)
 
 
 def is_noreply_email(email: Column) -> Column:
@@ -38,9 +43,15 @@ def audit_commit_emails(commits: DataFrame) -> DataFrame:
     return commits.select("repo_id", F.left("commit", F.lit(7)).alias("commit"), F.explode(roles).alias("r")).filter(~is_noreply_email(F.col("r.email"))).select("repo_id", "commit", "r.role")
 
 
-def scan_commit_messages(commits: DataFrame) -> DataFrame:
+def _scan(texts: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """(id, category, snippet) of patterns and, if given, of confidential terms (term, category) in texts (id, text)."""
+    found = scan_patterns(texts).select("id", "category", "snippet")
+    return found if terms is None else found.union(scan_terms(texts, terms).select("id", "category", "snippet"))
+
+
+def scan_commit_messages(commits: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(repo_id, commit, category) found in messages."""
-    found = scan_patterns(commits.select(F.struct("repo_id", "commit").alias("id"), F.col("message").alias("text")))
+    found = _scan(commits.select(F.struct("repo_id", "commit").alias("id"), F.col("message").alias("text")), terms)
     return found.select("id.repo_id", F.left("id.commit", F.lit(7)).alias("commit"), "category").distinct()
 
 
@@ -50,16 +61,16 @@ def audit_blob_paths(blob_paths: DataFrame) -> DataFrame:
     return named.filter("n.status = 'EXCLUDE'").select("repo_id", "path", F.col("n.reason").alias("reason"))
 
 
-def scan_blobs(blobs: DataFrame, blob_paths: DataFrame) -> DataFrame:
+def scan_blobs(blobs: DataFrame, blob_paths: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(repo_id, path, category, snippet) found in blobs. Each distinct blob is scanned once, whatever the repositories and paths that
     have it; binary ones are passed over. Per repository the smallest path names it."""
     once = blobs.select("sha", "content").dropDuplicates(["sha"]).filter(~F.contains(F.substring("content", 1, BINARY_PROBE), F.lit(b"\0")))
-    found = scan_patterns(once.select(F.col("sha").alias("id"), to_text(F.col("content")).alias("text"))).select(F.col("id").alias("sha"), "category", "snippet").distinct()
+    found = _scan(once.select(F.col("sha").alias("id"), to_text(F.col("content")).alias("text")), terms).select(F.col("id").alias("sha"), "category", "snippet").distinct()
     names = blob_paths.groupBy("repo_id", "sha").agg(F.min("path").alias("path"))
     return found.join(names, "sha").select("repo_id", "path", "category", "snippet").distinct()
 
 
-def audit_policy(files: DataFrame, usage_lines: tuple[str, ...] = (), entries: tuple[str, ...] = IGNORE_ENTRIES, words: tuple[str, ...] = NOTICE_WORDS, title: str = USAGE_TITLE) -> DataFrame:
+def audit_policy(files: DataFrame, usage_lines: tuple[str, ...] = USAGE_LINES, entries: tuple[str, ...] = IGNORE_ENTRIES, words: tuple[str, ...] = NOTICE_WORDS, title: str = USAGE_TITLE) -> DataFrame:
     """(repo_id, problem) by the root files of each repository (repo_id, path, text). One aggregation, on conditions."""
     upper = F.upper("path")
     licence = ~F.col("path").contains("/") & (upper.startswith("LICENSE") | upper.startswith("LICENCE") | upper.startswith("COPYING"))
@@ -123,9 +134,9 @@ def gate_push(requests: DataFrame) -> DataFrame:
     return requests.select("repo_id", (F.size(reasons) == 0).alias("allowed"), reasons.alias("reasons"))
 
 
-def check_message(messages: DataFrame) -> DataFrame:
+def check_message(messages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(id, ok, problems) of commit messages (id, message): missing, with a co-author trailer, or with findings."""
-    found = scan_patterns(messages.select("id", F.col("message").alias("text"))).groupBy("id").agg(F.array_sort(F.collect_set("category")).alias("found"))
+    found = _scan(messages.select("id", F.col("message").alias("text")), terms).groupBy("id").agg(F.array_sort(F.collect_set("category")).alias("found"))
     problems = F.array_compact(F.array(
         F.when(F.trim(F.coalesce("message", F.lit(""))) == "", "message missing"),
         F.when(F.col("message").rlike(r"(?im)^\s*co-authored-by:"), "co-author trailer"),

@@ -48,33 +48,64 @@ def classify_content(name_status: Column, ext: Column, size: Column, total: Colu
     )
 
 
-def inventory(files: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
-    """Plan rows for a table of files (path, content BINARY, optional is_symlink).
-
-    Columns: path, size, sha256, status, reasons, findings (first FINDINGS_KEPT), total_findings (null if not scanned),
-    personal_findings. Files that their name excludes, and links, get no hash and aren't read further. Null
-    content counts as unreadable: REVIEW. No shuffle.
+def inventory(files: DataFrame, patterns: list[Pattern] | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """Plan rows for a table of files (path, content BINARY; optional size, mtime_ns, is_symlink, ocr_text).
+
+    Columns: path, size, mtime_ns, sha256, status, reasons, review_kind (extension, folder, name or null), findings (first
+    FINDINGS_KEPT of the content, and as many of the others), total_findings (null if nothing was scanned),
+    personal_findings, ocr_chars, synthetic (false; see ``snapshots.apply_synthetic``). ``extra`` is a table of further
+    findings (path, line, category, snippet, source), as terms, protected names or image metadata give them: they
+    count like those of the patterns. Files that their name excludes, and links, get no hash and aren't read
+    further. Null content counts as unreadable: REVIEW. One pass over the files, nothing of their content is shuffled;
+    with ``extra``, plan rows and findings meet in a join on path.
     """
-    link = F.coalesce(F.col("is_symlink"), F.lit(False)) if "is_symlink" in files.columns else F.lit(False)
-    named = files.withColumn("_name", F.when(link, F.struct(F.lit("EXCLUDE").alias("status"), F.lit("symbolic link").alias("reason"))).otherwise(classify_name(F.col("path"))))
-    out = named.filter(F.col("_name.status").eqNullSafe("EXCLUDE")).select(
-        "path", F.length("content").cast("long").alias("size"), F.lit(None).cast("string").alias("sha256"), F.lit("EXCLUDE").alias("status"), F.array("_name.reason").alias("reasons"),
-        F.array().cast(FINDING).alias("findings"), F.lit(None).cast("int").alias("total_findings"), F.lit(None).cast("int").alias("personal_findings"),
-    )
-    rest = named.filter(~F.col("_name.status").eqNullSafe("EXCLUDE"))
-    unread = F.struct(F.lit(False).alias("scan"), F.lit("REVIEW").alias("status"), F.lit("unreadable").alias("reason"))
-    rest = rest.withColumn("_gate", F.when(F.col("content").isNull(), unread).otherwise(content_gate(F.col("content"), F.col("_name.status"))))
-    found = F.when(F.col("_gate.scan"), findings_of(to_text(F.col("content")), patterns=patterns))
-    summed = bind(found, lambda f: F.struct(F.slice(f, 1, FINDINGS_KEPT).alias("findings"), F.size(f).alias("total"), F.size(F.filter(f, lambda x: x["category"].isin(*PERSONAL))).alias("personal")))
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in files.columns else F.lit(None).cast(kind)
+
+    def gate(scan: bool, status: str, reason: str | None) -> Column:
+        return F.struct(F.lit(scan).alias("scan"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+
+    link = F.struct(F.lit("EXCLUDE").alias("status"), F.lit("symbolic link").alias("reason"), F.lit(None).cast("string").alias("kind"))
+    named = files.withColumn("_name", F.when(F.coalesce(given("is_symlink", "boolean"), F.lit(False)), link).otherwise(classify_name(F.col("path"))))
+    excluded = F.col("_name.status").eqNullSafe("EXCLUDE")
+    gates = F.when(excluded, gate(False, "EXCLUDE", None)).when(F.col("content").isNull(), gate(False, "REVIEW", "unreadable")).otherwise(content_gate(F.col("content"), F.col("_name.status")))
+    rows = named.withColumn("_gate", gates)
+    inside = F.when(F.col("_gate.scan"), findings_of(to_text(F.col("content")), patterns=patterns))
+    ocr = given("ocr_text", "string")
+    read = F.when(~excluded & ocr.isNotNull(), findings_of(ocr, "ocr", patterns))
+    personal = lambda f: F.size(F.filter(f, lambda x: x["category"].isin(*PERSONAL)))
+    summed = lambda f: F.struct(F.slice(f, 1, FINDINGS_KEPT).alias("findings"), F.size(f).alias("total"), personal(f).alias("personal"))
     # Generated, so that neither later columns nor filters pushed down from above scan the text again.
-    rest = rest.withColumn("_found", F.explode(F.array(summed)))
-    verdict = classify_content(F.col("_name.status"), path_parts(F.col("path"))["ext"], F.length("content"), F.col("_found.total"), F.col("_found.personal"))
-    rest = rest.withColumn("_verdict", F.when(F.col("_gate.scan"), verdict).otherwise(F.struct(F.col("_gate.status").alias("status"), F.col("_gate.reason").alias("reason"))))
-    rest = rest.select(
-        "path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "_verdict.status", F.array_compact(F.array("_name.reason", "_verdict.reason")).alias("reasons"),
-        F.coalesce("_found.findings", F.array().cast(FINDING)).alias("findings"), F.col("_found.total").alias("total_findings"), F.col("_found.personal").alias("personal_findings"),
+    rows = rows.withColumn("_found", F.explode(F.array(bind(inside, summed))))
+    rows = rows.withColumn("_ocr", F.explode(F.array(bind(read, summed)))) if "ocr_text" in files.columns else rows.withColumn("_ocr", F.lit(None).cast(f"struct<findings:{FINDING},total:int,personal:int>"))
+    rows = rows.select(
+        "path", F.coalesce(given("size", "long"), F.length("content").cast("long")).alias("size"), given("mtime_ns", "long").alias("mtime_ns"), F.when(~excluded, F.sha2("content", 256)).alias("sha256"),
+        "_name", "_gate", "_found", "_ocr", F.length("content").alias("_length"), F.when(~excluded, F.length(F.trim(ocr))).alias("ocr_chars"),
+    )
+    if extra is None:
+        rows = rows.withColumn("_more", F.lit(None).cast(f"struct<findings:{FINDING},total:int,personal:int>"))
+    else:
+        finding = F.struct(F.col("line").cast("int").alias("line"), "category", "snippet", "source")
+        by_path = extra.groupBy("path").agg(F.struct(
+            F.slice(F.array_sort(F.collect_list(finding)), 1, FINDINGS_KEPT).alias("findings"), F.count("*").cast("int").alias("total"), F.count_if(F.col("category").isin(*PERSONAL)).cast("int").alias("personal"),
+        ).alias("_more"))
+        rows = rows.join(by_path, "path", "left").withColumn("_more", F.when(F.col("_name.status").eqNullSafe("EXCLUDE"), None).otherwise(F.col("_more")))
+    parts = ("_found", "_ocr", "_more")
+    total, some = F.lit(0), F.lit(False)
+    people = F.lit(0)
+    for p in parts:
+        total, people, some = total + F.coalesce(f"{p}.total", F.lit(0)), people + F.coalesce(f"{p}.personal", F.lit(0)), some | F.col(f"{p}.total").isNotNull()
+    rows = rows.withColumns({"total_findings": F.when(some, total), "personal_findings": F.when(some, people)})
+    # An image whose text or metadata was read is not scanned as text, but what was found there counts.
+    verdict = classify_content(F.col("_name.status"), path_parts(F.col("path"))["ext"], F.col("_length"), F.col("total_findings"), F.col("personal_findings"))
+    rows = rows.withColumn("_verdict", F.when(F.col("_gate.scan"), verdict).otherwise(F.struct(F.col("_gate.status").alias("status"), F.col("_gate.reason").alias("reason"))))
+    none = F.array().cast(FINDING)
+    others = F.concat(F.coalesce("_ocr.findings", none), F.coalesce("_more.findings", none))
+    return rows.select(
+        "path", "size", "mtime_ns", "sha256", "_verdict.status", F.array_compact(F.array("_name.reason", "_verdict.reason")).alias("reasons"), F.when(F.col("_verdict.status") == "REVIEW", F.col("_name.kind")).alias("review_kind"),
+        F.concat(F.coalesce("_found.findings", none), F.slice(others, 1, FINDINGS_KEPT)).alias("findings"), "total_findings", "personal_findings", "ocr_chars", F.lit(False).alias("synthetic"),
     )
-    return rest.unionByName(out)
 
 
 def cap_findings(found: DataFrame, keep: int = FINDINGS_KEPT) -> DataFrame:

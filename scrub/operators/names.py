@@ -10,8 +10,17 @@ from ..functions.text import bind, cut_line, normalize_words, split_lines
 
 PARTICLES = ("DA", "DE", "DO", "DAS", "DOS", "E", "D")
 #: Endings of company names, and words too common in them to identify one alone. Parameters of the functions below; fixed values.
-LEGAL_SUFFIXES = ("LTDA", "ME", "EPP", "EIRELI", "SA", "CIA", "INC", "LLC", "LTD", "GMBH", "SL", "SARL")
-GENERIC = ("EMPRESA", "SERVICOS", "COMERCIO", "INDUSTRIA", "GRUPO", "COMPANHIA", "NOVA", "NOVO", "GERAL", "BANCO", "CASA", "LOJA", "CENTRO", "BRASIL", "NACIONAL", "GLOBAL")
+LEGAL_SUFFIXES = ("LTDA", "SA", "S", "A", "EIRELI", "ME", "EPP", "MEI", "CIA", "EM", "RECUPERACAO", "JUDICIAL", "FALIDA", "MASSA")
+GENERIC = tuple("""
+BANCO COMPANHIA EMPRESA EMPRESAS SERVICOS SERVICO INDUSTRIA INDUSTRIAS COMERCIO GRUPO BRASIL BRASILEIRA BRASILEIRO
+SAO PAULO RIO JANEIRO MINAS GERAIS NACIONAL ASSOCIACAO SINDICATO CONSTRUTORA CONSTRUCOES TRANSPORTES TRANSPORTE
+LOGISTICA SOLUCOES ADMINISTRACAO ADMINISTRADORA HOSPITAL INSTITUTO CENTRO MUNICIPIO PREFEITURA ESTADO FUNDACAO
+COOPERATIVA SEGURANCA VIGILANCIA LIMPEZA CONSERVACAO ATACADISTA DISTRIBUIDORA COMERCIAL TECNOLOGIA SISTEMAS
+PARTICIPACOES ENGENHARIA SAUDE EDUCACIONAL EDUCACAO ENSINO MINISTERIO UNIAO FEDERAL CAIXA ECONOMICA SUPERMERCADO
+SUPERMERCADOS MERCADO LOJAS LOJA RESTAURANTE ALIMENTOS ALIMENTACAO AUTO POSTO POSTOS TERCEIRIZACAO RECURSOS HUMANOS
+GESTAO CONSULTORIA ASSESSORIA TELECOMUNICACOES TELEFONIA ENERGIA ELETRICA ELETRICIDADE DISTRIBUICAO GERAL
+INTERNACIONAL GLOBAL NOVA NOVO PRIMEIRA SUL NORTE LESTE OESTE CLINICA FARMACIA DROGARIA BAR CASA SOCIEDADE
+""".split())
 WINDOW = 8
 
 
@@ -51,21 +60,24 @@ def company_variants(words: Column, generic: tuple[str, ...] = GENERIC, suffixes
     return _joined([all_words, F.when(enough, core), F.when(enough, start)], generic)
 
 
-def build_variants(names: DataFrame) -> DataFrame:
-    """Distinct (kind, name_key, variant) of a table (name, kind: person or company); names that normalise alike are one."""
+def build_variants(names: DataFrame, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = LEGAL_SUFFIXES) -> DataFrame:
+    """Distinct (kind, name_key, variant) of a table (name, kind: person or company); names that normalise alike are one.
+
+    ``generic`` and ``suffixes`` are the lists for company names, in normalised words.
+    """
     keyed = names.withColumn("_w", normalize_words(F.col("name"))).withColumn("name_key", F.array_join("_w", " ")).filter("name_key <> ''")
     keyed = keyed.dropDuplicates(["kind", "name_key"])
-    variants = F.when(F.col("kind") == "company", company_variants(F.col("_w"))).otherwise(person_variants(F.col("_w")))
+    variants = F.when(F.col("kind") == "company", company_variants(F.col("_w"), generic, suffixes)).otherwise(person_variants(F.col("_w"), generic))
     return keyed.select("kind", "name_key", F.explode(variants).alias("variant"))
 
 
-def build_protected(names: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
+def build_protected(names: DataFrame, key: bytes, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = LEGAL_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(distinct hashes, counts of names and variants by kind). Neither holds a name.
 
     ``pair`` is the hash of a variant's first two words: a scan hashes only two words at each place to
     begin with. The column may be dropped, at the price of hashing all sequences.
     """
-    variants = build_variants(names)
+    variants = build_variants(names, generic, suffixes)
     counts = variants.groupBy("kind").agg(F.countDistinct("name_key").alias("names"), F.countDistinct("variant").alias("variants"))
     pair = hmac_sha256_20(F.substring_index("variant", " ", 2), key).alias("pair")
     return variants.select("variant").distinct().select(hmac_sha256_20(F.col("variant"), key).alias("hash"), pair), counts

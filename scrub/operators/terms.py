@@ -8,12 +8,14 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masking import LABELS
+from ..functions.masking import LABELS, hmac_sha256_20
 from ..functions.text import fold_accents, norm_key
 from .patterns import lines_of
 
 #: Up to this many terms one test for each is put into the plan; beyond, terms are joined by their first word.
 INLINE_TERMS = 64
+#: Terms without a letter or digit that a list may have.
+MOST_WORDLESS = 1_000
 _EDGE = "A-Za-z0-9"
 
 
@@ -39,27 +41,39 @@ def _label(category: Column) -> Column:
     return F.when(category == "internal_term", LABELS["internal_term"]).otherwise(LABELS["sensitive_term"])
 
 
-def scan_terms(df: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+def scan_terms(df: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "text", key: bytes | None = None) -> DataFrame:
     """(id, line, term_key, category, snippet): one row for each line and term that it holds; the snippet hides the term.
 
-    term_key is a hash of the term. A list beyond INLINE_TERMS is joined to the words of lines by
-    each term's first word, and then tested; the list may be of any size.
+    term_key is the keyed hash of the term (null without a key, as an unkeyed one could be looked up in a word list). A list beyond
+    INLINE_TERMS is joined to the words of lines by each term's first word, and then tested; the list
+    may be of any size. Terms without a letter or digit, MOST_WORDLESS at most, are tested on every line.
     """
-    lines = lines_of(df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).withColumn("folded", fold_accents("line_text")).drop("line_text")
+    rows = lines_of(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    # Generated, so that filters pushed down don't fold each line again.
+    lines = rows.select("id", "line", F.explode(F.array(fold_accents("line_text"))).alias("folded"))
     keyed = terms.select(F.col("term"), F.col("category")).withColumn("folded_term", fold_accents("term")).filter("trim(folded_term) <> ''")
+
+    def inline(some: list[tuple]) -> DataFrame:
+        found = F.array_compact(F.array(*(F.when(F.col("folded").rlike(term_regex(t)), F.struct(F.lit(t).alias("term"), F.lit(c).alias("category"))) for t, c, *_ in some)))
+        return lines.select("id", "line", F.explode(found).alias("t")).select("id", "line", "t.term", "t.category")
+
     few = [tuple(r) for r in keyed.limit(INLINE_TERMS + 1).collect()]
     if not few:
         return lines.select("id", "line", F.lit("").alias("term_key"), F.lit("").alias("category"), F.lit("").alias("snippet")).limit(0)
     if len(few) <= INLINE_TERMS:
-        found = F.array_compact(F.array(*(F.when(F.col("folded").rlike(term_regex(t)), F.struct(F.lit(t).alias("term"), F.lit(c).alias("category"))) for t, c, _ in few)))
-        hits = lines.select("id", "line", F.explode(found).alias("t")).select("id", "line", "t.term", "t.category")
+        hits = inline(few)
     else:
         token = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-        first = keyed.withColumn("token", F.coalesce(F.get(token(F.col("folded_term")), F.lit(0)), F.lit("")))
-        words = lines.withColumn("token", F.explode(F.array_union(F.array_distinct(token(F.col("folded"))), F.array(F.lit("")))))
+        first = keyed.withColumn("token", F.get(token(F.col("folded_term")), F.lit(0)))
+        wordless = [tuple(r) for r in first.filter("token is null").limit(MOST_WORDLESS + 1).collect()]
+        if len(wordless) > MOST_WORDLESS:
+            raise ValueError(f"over {MOST_WORDLESS} terms have no letter or digit")
+        words = lines.withColumn("token", F.explode(F.array_distinct(token(F.col("folded")))))
         escaped = F.concat(F.lit(f"(?i)(?<![{_EDGE}])\\Q"), F.replace(F.col("folded_term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?![{_EDGE}])"))
         hits = words.join(first, "token").filter(F.rlike(F.col("folded"), escaped)).select("id", "line", "term", "category")
-    return hits.select("id", "line", F.sha2("term", 256).alias("term_key"), "category", _label(F.col("category")).alias("snippet"))
+        hits = hits.union(inline(wordless)) if wordless else hits
+    hashed = hmac_sha256_20(F.col("term"), key) if key else F.lit(None).cast("string")
+    return hits.select("id", "line", hashed.alias("term_key"), "category", _label(F.col("category")).alias("snippet"))
 
 
 # The term store: a table (list, value), one row for each term.

@@ -28,10 +28,8 @@ def query(f: Query) -> Query:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Scanning costs far more than reading, so a table of fewer splits than cores (one small file) is dealt out;
-    larger ones are read as they are."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, read in the splits that it has."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -154,7 +152,7 @@ def scan_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     chosen = docs.filter((F.col("doc_id") % 50 == 0) & F.col("text").rlike("^[A-Za-z]+ [A-Za-z]{5,} "))  # makes the term list; all documents are scanned
     term_list = chosen.select(F.lower(F.get(F.split("text", "[ \n]+"), F.lit(1))).alias("term"), F.lit("sensitive_term").alias("category"))
-    return terms.scan_terms(docs, terms.merge_terms(term_list), "doc_id").select("id", "line", "term_key")
+    return terms.scan_terms(docs, terms.merge_terms(term_list), "doc_id", key=KEY).select("id", "line", "term_key")
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +168,7 @@ def person_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def company_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").filter(F.col("text").rlike("^[A-Za-z]+ [A-Za-z]+"))
-    firms = docs.select(F.concat(F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 2), " "), F.lit(" LTDA ME")).alias("name"), F.lit("company").alias("kind"))
+    firms = docs.select(F.concat(F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 2), " "), F.lit(" S.A.")).alias("name"), F.lit("company").alias("kind"))
     return names.build_variants(firms).select("variant").distinct()
 
 
@@ -181,15 +179,15 @@ def protected_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of one in ten people in all documents."""
-    hashes, _ = names.build_protected(_people(spark, sf_dir).filter("doc_id % 10 = 0"), KEY)
+    """Hits of all people in all documents."""
+    hashes, _ = names.build_protected(_people(spark, sf_dir), KEY)
     return names.scan_protected(_table(spark, sf_dir, "documents"), hashes, KEY, id_col="doc_id")
 
 
 @query
 def lookup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = _people(spark, sf_dir)
-    hashes, _ = names.build_protected(people.filter("doc_id % 10 = 0"), KEY)
+    hashes, _ = names.build_protected(people, KEY)
     return names.lookup_names(people.select("name").distinct(), hashes, KEY)
 
 
@@ -336,7 +334,8 @@ def remote_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def policy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("s_suppkey")
-    readme = F.concat(F.lit("# x\n"), F.when(n % 2 != 0, "Dados fictícios e sanitizados\n").otherwise("\n"), F.lit("## Uso\n"), F.when(n % 3 == 1, "## Mais\n").otherwise(""))
+    usage = F.concat_ws("\n", F.lit("## Uso"), F.lit(audits.USAGE_LINES[0]), F.when(n % 5 != 0, audits.USAGE_LINES[1]), F.lit(""))
+    readme = F.concat(F.lit("# x\n"), F.when(n % 2 != 0, "Dados fictícios e sanitizados\n").otherwise("\n"), usage, F.when(n % 3 == 1, "## Mais\n").otherwise(""))
     entries = F.array(*(F.lit(e) for e in audits.IGNORE_ENTRIES))
     ignore = F.array_join(F.when(n % 3 == 0, entries).otherwise(F.slice(entries, 1, 10)), "\r\n")
     rows = F.array_compact(F.array(

@@ -35,8 +35,8 @@ def write_release(copies: DataFrame, content: DataFrame, source: str, destinatio
 
 
 def write_protected(hashes: DataFrame, counts: DataFrame, out: str) -> None:
-    """Sorted distinct hashes, and counts; the key is kept elsewhere, by whoever made it."""
-    hashes.select("hash").distinct().sort("hash").write.mode("errorifexists").parquet(f"{out}/hashes")
+    """Sorted distinct hashes, with their ``pair`` if they have it, and counts; the key is kept elsewhere, by whoever made it."""
+    hashes.select(*(c for c in ("hash", "pair") if c in hashes.columns)).distinct().sort("hash").write.mode("errorifexists").parquet(f"{out}/hashes")
     counts.write.mode("errorifexists").parquet(f"{out}/counts")
 
 
