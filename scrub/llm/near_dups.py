@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions
 from .components import components
-from .simhash import gray_rank, leaf_links, shingle_bytes, simhash
+from .simhash import BLOCK, SEED, gray_rank, leaf_links, shingle_bytes
 
 #: Words of a shingle, and the similarity of a link as a fraction.
 WIDTH, SIMILAR = 5, (4, 5)
-#: Bits of 64 in which candidates differ at most. At similarity 0.8 the mean is 9.7, the standard deviation 2.9.
-MOST = 15
+#: Bits in which candidates differ at most: of the 64 that are indexed, and of these and 64 more. At similarity 0.8 the
+#: means are 9.7 and 19.4, the standard deviations 2.9 and 4.1; unlike texts differ in half of all.
+MOST, MOST_OF_BOTH = 15, 28
 #: Share of equal bits that views are planned for (one standard deviation below similarity 0.8), and the chance
 #: that such a pair meets in a view.
+#: 64-bit words of the sketch that candidates are sifted by before their shingles are compared, and the standard deviations above
+#: the bits in which texts of just the wanted similarity differ that still pass.
+SKETCH, DEVIATIONS = 16, 2.5
 AGREE, RECALL = 0.80, 0.97
 #: Fingerprints of a node, about, and of a run that is searched at once; runs of larger nodes overlap by a quarter.
 NODE, RUN_ROWS = 512, 2_048
@@ -53,7 +58,24 @@ def plan_views(n: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Distinct 64-bit hashes of a text's word shingles, ascending; none for a text without words."""
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(s) for s in shingle_bytes(text, width)), np.uint64)).view(np.int64)
+    return np.unique(np.fromiter((digest(s) for s in shingle_bytes(text, width)), np.uint64))
+
+
+def sketch(shingles: np.ndarray, words: int = SKETCH) -> bytes:
+    """SimHash of a set of hashes in ``words`` x 64 bits: each word is voted on by the hashes mixed in another way."""
+    votes = np.zeros((words, 64), np.int64)
+    for a in range(0, len(shingles), BLOCK):
+        for k in range(words):
+            h = _mixed(shingles[a : a + BLOCK] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+            votes[k] += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(shingles)).tobytes()
+
+
+def most_of_sketch(similar: tuple[int, int] = SIMILAR, words: int = SKETCH) -> int:
+    """Bits in which sketches of texts of similarity ``similar`` or more differ at most, but for chance (under 1 % at just that similarity)."""
+    j = similar[0] / similar[1]
+    share = math.acos(2 * j / (1 + j)) / math.pi  # the angle of sets of equal size
+    return math.floor(64 * words * share + DEVIATIONS * math.sqrt(64 * words * share * (1 - share)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,6 +85,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def two_fingerprints(text: str | None, width: int = WIDTH) -> tuple[int, int]:
+    """SimHash of a text's shingles, and another one of their hashes mixed anew, as signed 64-bit numbers."""
+    digest, votes, n = xxhash.xxh64_intdigest, np.zeros((2, 64), np.int64), 0
+    shingles = shingle_bytes(text, width)
+    while len(h := np.array([digest(x, SEED) for x in islice(shingles, BLOCK)], np.uint64)):
+        for k, part in enumerate((h, _mixed(h))):
+            votes[k] += np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h)
+    first, second = np.packbits(2 * votes > n, axis=1).view(">i8").ravel().tolist()
+    return first, second
+
+
 def minimum_forest(n: int, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Places in ``pairs`` of a minimum spanning forest of 0 .. n-1 (Boruvka); ties go to the earlier pair."""
     label, chosen, left = np.arange(n), [], np.arange(len(pairs))
@@ -114,8 +148,8 @@ def chosen_pairs(n: int, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return pairs[np.unique(np.concatenate([first, second, hub_pairs(n, pairs)]))]
 
 
-def candidates(distinct: DataFrame, n: int, most: int = MOST, seed: int = 13) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of nodes of ``distinct`` (node, fp) whose fingerprints differ in ``most`` bits at most.
+def candidates(distinct: DataFrame, n: int, most: int = MOST, most_of_both: int = MOST_OF_BOTH, seed: int = 13) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of nodes of ``distinct`` (node, fp, fp2) whose fingerprints differ in ``most`` bits at most, both together in ``most_of_both``.
 
     The rows of all views are dealt and sorted by (key, Gray rank, node), so that a large node is spread
     over tasks like any other range, and a task holds one run at a time.
@@ -126,24 +160,27 @@ def candidates(distinct: DataFrame, n: int, most: int = MOST, seed: int = 13) ->
         for batch in batches:
             for at in range(0, len(batch), 1 << 14):
                 part = batch.slice(at, 1 << 14)
-                nodes, fps = part.column("node"), part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                nodes, seconds, fps = part.column("node"), part.column("fp2"), part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
                 for k, (mask, turn) in enumerate(zip(masks, turns, strict=True)):
                     turned = fps << turn | fps >> (np.uint64(64) - turn) if turn else fps
                     key = _mixed((fps & mask) ^ _mixed(np.uint64([k + 1])))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(gray_rank(turned).view(np.int64)), nodes], ["key", "rank", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(gray_rank(turned).view(np.int64)), nodes, seconds], ["key", "rank", "node", "fp2"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def run(rank: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch | None:
+        def run(rank: np.ndarray, nodes: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
             x = rank.view(np.uint64)
             fps = x ^ (x >> np.uint64(1))
             pairs = leaf_links(fps, most)
+            i, j = pairs[:, 0], pairs[:, 1]
+            weights = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count((second[i] ^ second[j]).view(np.uint64))
+            pairs, weights = pairs[weights <= most_of_both], weights[weights <= most_of_both]
             if not len(pairs):
                 return None
-            pairs = chosen_pairs(len(fps), pairs, np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]))
+            pairs = chosen_pairs(len(fps), pairs, weights)
             u, v = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         fresh = 0  # rows held that no run had yet
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
@@ -153,7 +190,7 @@ def candidates(distinct: DataFrame, n: int, most: int = MOST, seed: int = 13) ->
             a = 0
             while len(held[0]) - a > RUN_ROWS:
                 b = a + int(np.searchsorted(held[0][a : a + RUN_ROWS] != held[0][a], True))
-                if b - a > 1 and (out := run(held[1][a:b], held[2][a:b])):
+                if b - a > 1 and (out := run(*(h[a:b] for h in held[1:]))):
                     yield out
                 a = b if b - a < RUN_ROWS or held[0][b] != held[0][a] else b - RUN_ROWS // 4
             held = [h[a:] for h in held]
@@ -161,13 +198,13 @@ def candidates(distinct: DataFrame, n: int, most: int = MOST, seed: int = 13) ->
         a = 0
         while a < len(held[0]):
             b = a + int(np.searchsorted(held[0][a : a + RUN_ROWS] != held[0][a], True))
-            if b - a > 1 and (out := run(held[1][a:b], held[2][a:b])):
+            if b - a > 1 and (out := run(*(h[a:b] for h in held[1:]))):
                 yield out
             a = b if b == len(held[0]) or b - a < RUN_ROWS or held[0][b] != held[0][a] else b - RUN_ROWS // 4
 
     size = n * len(masks)
     tasks = max(1, min(partitions(distinct.sparkSession), size // LEAST_TASK_ROWS), size // TASK_ROWS)
-    rows = distinct.select("node", "fp").mapInArrow(view, "key long, rank long, node long")
+    rows = distinct.select("node", "fp", "fp2").mapInArrow(view, "key long, rank long, node long, fp2 long")
     dealt = rows.repartitionByRange(tasks, "key", "rank", "node").sortWithinPartitions("key", "rank", "node")
     return dealt.mapInArrow(search, "u long, v long").distinct()
 
@@ -175,7 +212,9 @@ def candidates(distinct: DataFrame, n: int, most: int = MOST, seed: int = 13) ->
 def verified(edges: DataFrame, docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Edges (u, v) whose texts have shingle sets of Jaccard similarity ``similar`` or more. ``docs`` has node and text.
 
-    Only texts that an edge names get their sets; each is made once, however many copies there are.
+    Only texts that an edge names get their sets; each is made once, however many copies there are. Edges are
+    sifted by sketches of 128 bytes first, so that sets move to those few that may pass. Sets hold the lower 32 bits of
+    the hashes: in texts of under 100,000 words that changes a similarity by less than 0.0001.
     """
     wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
@@ -184,13 +223,27 @@ def verified(edges: DataFrame, docs: DataFrame, width: int = WIDTH, similar: tup
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(x.as_py(), width) for x in part.column("text")]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "s"])
+                short = [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in short])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(short)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([sketch(s) for s in sets], pa.binary()), lists], ["node", "k", "s"])
 
     texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = materialize(texts.mapInArrow(make, "node long, s array<long>"), "shingles")
-    a, b = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
+    sets = materialize(texts.mapInArrow(make, "node long, k binary, s array<int>"), "shingles")
+
+    def ends(column: str) -> tuple[DataFrame, DataFrame]:
+        return sets.select(F.col("node").alias("u"), F.col(column).alias("a")), sets.select(F.col("node").alias("v"), F.col(column).alias("b"))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH) for c in ("a", "b"))
+            near = np.bitwise_count(x ^ y).sum(1) <= most
+            yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    most = most_of_sketch(similar)
+    a, b = ends("k")
+    edges = materialize(edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(sift, "u long, v long"), "sifted")
+    a, b = ends("s")
     both = edges.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
     return both.filter((F.col("common") * similar[1] >= (F.col("total") - F.col("common")) * similar[0]) | (F.col("total") == 0)).select("u", "v")
 
@@ -205,11 +258,11 @@ def groups(docs: DataFrame, width: int = WIDTH, most: int = MOST, similar: tuple
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([simhash(x.as_py(), width) for x in batch.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "node", "fp"])
+            both = np.array([two_fingerprints(x.as_py(), width) for x in batch.column(2)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "node", "fp", "fp2"])
 
-    rows = materialize(named.mapInArrow(prints, "doc_id long, node long, fp long"), "prints")
-    distinct = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("id")), "texts")
+    rows = materialize(named.mapInArrow(prints, "doc_id long, node long, fp long, fp2 long"), "prints")
+    distinct = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min("doc_id").alias("id")), "texts")
     edges = materialize(candidates(distinct, distinct.count(), most), "candidates")
     named_groups = materialize(components(verified(edges, named.select("node", "text"), width, similar)), "components")
     least = named_groups.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
