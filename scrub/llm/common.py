@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -103,5 +103,28 @@ def id_chunks(docs: DataFrame, rows_per_chunk: int, id_col: str = "doc_id") -> I
     return IdChunks(np.array(sorted(cuts), np.int64))
 
 
+#: Bits of a sieve: 2**20 words of 64, 16 MB, whatever the number of keys.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, key: Column) -> DataFrame:
+    """(word, bits): a bitmap of the keys' places, a 64-bit hash modulo SIEVE_BITS. At most 2**20 rows, so that it may be broadcast."""
+    at = F.pmod(key, F.lit(SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    return materialize(keys.groupBy(F.floor(at / 64).alias("word")).agg(F.bit_or(bit).alias("bits")), "sieve")
+
+
+def sifted(df: DataFrame, key: Column, bitmap: DataFrame, inside: bool) -> DataFrame:
+    """Rows of ``df`` whose key is (perhaps) among the sieve's, or else those whose key surely isn't. Nothing is shuffled.
+
+    The more keys there are, the more others pass as well: a join with the keys themselves decides about those inside.
+    """
+    at, own = F.pmod(key, F.lit(SIEVE_BITS)), "_sieve" + "_" * max(map(len, df.columns))  # no column of df
+    small = F.broadcast(bitmap.select(F.col("word").alias(f"{own}word"), F.col("bits").alias(f"{own}bits")))
+    found = df.join(small, F.floor(at / 64) == F.col(f"{own}word"), "left")
+    hit = F.coalesce(F.call_function("getbit", F.col(f"{own}bits"), F.pmod(at, F.lit(64)).cast("int")) == 1, F.lit(False))
+    return found.filter(hit if inside else ~hit).select(*df.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, sieve, sifted
 from .components import components
 from .simhash import BLOCK, SEED, gray_rank, leaf_links, shingle_bytes
 
@@ -228,7 +228,8 @@ def verified(edges: DataFrame, docs: DataFrame, width: int = WIDTH, similar: tup
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(short)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([sketch(s) for s in sets], pa.binary()), lists], ["node", "k", "s"])
 
-    texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    few = sifted(docs, F.col("node"), sieve(wanted, F.col("node")), inside=True)  # other texts are not shuffled
+    texts = few.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(texts.mapInArrow(make, "node long, k binary, s array<int>"), "shingles")
 
     def ends(column: str) -> tuple[DataFrame, DataFrame]:
@@ -279,11 +280,15 @@ def keep_one(docs: DataFrame, width: int = WIDTH, most: int = MOST, similar: tup
     its group has an id. Null and empty texts are copies of themselves; all texts without words are one
     group. An empty table gives no rows. Texts of fewer words than a shingle are one shingle of all their words.
 
-    Rows that go are joined back by id and text hash; Spark may broadcast them or split a skewed side.
+    Rows that go are joined back by id and text hash; a sieve of bounded size keeps nearly all others out of that join's shuffle.
     """
     rows, least = groups(docs, width, most, similar)
     id_, group = F.col("doc_id"), F.col("least")
     gone = rows.join(least, "node").filter(F.when(id_.isNull(), group.isNotNull()).otherwise(id_ != group))
     own = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs
     gone = materialize(gone.select(F.col("doc_id").alias(f"{own}id"), F.col("node").alias(f"{own}node")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}id")) & (F.xxhash64("text") == F.col(f"{own}node")), "left_anti")
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    bitmap = sieve(gone, F.xxhash64(f"{own}id", f"{own}node"))
+    maybe = sifted(docs, hashed, bitmap, inside=True)
+    clear = sifted(docs, hashed, bitmap, inside=False)
+    return clear.unionByName(maybe.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}id")) & (F.xxhash64("text") == F.col(f"{own}node")), "left_anti"))
