@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +68,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving what it freed back to the operating system at the end of each task.
+
+    Spark keeps Python workers for the tasks of later stages; without this each holds on to the most memory that any stage needed.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # of the GNU C library only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 #: Stands for a null id where ids are ordered.
 NULL_ID = -(1 << 63)
 #: More chunks than this are not made; a chunk then holds more rows, which its task streams.

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, sieve, sifted
+from .common import materialize, partitions, releasing, sieve, sifted
 from .components import components
 from .simhash import BLOCK, SEED, gray_rank, leaf_links, shingle_bytes
 
@@ -166,6 +166,7 @@ def candidates(distinct: DataFrame, n: int, most: int = MOST, most_of_both: int
                     key = _mixed((fps & mask) ^ _mixed(np.uint64([k + 1])))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(gray_rank(turned).view(np.int64)), nodes, seconds], ["key", "rank", "node", "fp2"])
 
+    @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(rank: np.ndarray, nodes: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
             x = rank.view(np.uint64)
@@ -209,15 +210,17 @@ def candidates(distinct: DataFrame, n: int, most: int = MOST, most_of_both: int
     return dealt.mapInArrow(search, "u long, v long").distinct()
 
 
-def verified(edges: DataFrame, docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Edges (u, v) whose texts have shingle sets of Jaccard similarity ``similar`` or more. ``docs`` has node and text.
+def verified(edges: DataFrame, docs: DataFrame, ids: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Edges (u, v) whose texts have shingle sets of Jaccard similarity ``similar`` or more. ``docs`` has doc_id, node and text, ``ids`` each node's smallest id.
 
-    Only texts that an edge names get their sets; each is made once, however many copies there are. Edges are
-    sifted by sketches of 128 bytes first, so that sets move to those few that may pass. Sets hold the lower 32 bits of
+    Only texts that an edge names get their sets; each is made once, from the row of the smallest id, so that its copies,
+    however many, are not shuffled. Edges are sifted by sketches of 128 bytes first, and sets move only for those that may pass. Sets hold the lower 32 bits of
     the hashes: in texts of under 100,000 words that changes a similarity by less than 0.0001.
     """
-    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    named = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = materialize(named.join(ids.select("node", "id"), "node"), "wanted")
 
+    @releasing
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -228,11 +231,11 @@ def verified(edges: DataFrame, docs: DataFrame, width: int = WIDTH, similar: tup
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(short)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([sketch(s) for s in sets], pa.binary()), lists], ["node", "k", "s"])
 
-    few = sifted(docs, F.col("node"), sieve(wanted, F.col("node")), inside=True)  # other texts are not shuffled
-    texts = few.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    few = sifted(docs, F.xxhash64("doc_id", "node"), sieve(wanted, F.xxhash64("id", "node")), inside=True)  # other texts are not shuffled
+    texts = few.groupBy("node").agg(F.first("text").alias("text")).join(wanted.select("node"), "node", "left_semi")
     sets = materialize(texts.mapInArrow(make, "node long, k binary, s array<int>"), "shingles")
 
-    def ends(column: str) -> tuple[DataFrame, DataFrame]:
+    def ends(sets: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         return sets.select(F.col("node").alias("u"), F.col(column).alias("a")), sets.select(F.col("node").alias("v"), F.col(column).alias("b"))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +245,9 @@ def verified(edges: DataFrame, docs: DataFrame, width: int = WIDTH, similar: tup
             yield batch.select(["u", "v"]).filter(pa.array(near))
 
     most = most_of_sketch(similar)
-    a, b = ends("k")
+    a, b = ends(sets, "k")
     edges = materialize(edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(sift, "u long, v long"), "sifted")
-    a, b = ends("s")
+    a, b = ends(sifted(sets, F.col("node"), sieve(edges.select(F.explode(F.array("u", "v")).alias("node")), F.col("node")), inside=True), "s")
     both = edges.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
     return both.filter((F.col("common") * similar[1] >= (F.col("total") - F.col("common")) * similar[0]) | (F.col("total") == 0)).select("u", "v")
 
@@ -257,6 +260,7 @@ def groups(docs: DataFrame, width: int = WIDTH, most: int = MOST, similar: tuple
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
 
+    @releasing
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = np.array([two_fingerprints(x.as_py(), width) for x in batch.column(2)], np.int64).reshape(-1, 2)
@@ -265,7 +269,7 @@ def groups(docs: DataFrame, width: int = WIDTH, most: int = MOST, similar: tuple
     rows = materialize(named.mapInArrow(prints, "doc_id long, node long, fp long, fp2 long"), "prints")
     distinct = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min("doc_id").alias("id")), "texts")
     edges = materialize(candidates(distinct, distinct.count(), most), "candidates")
-    named_groups = materialize(components(verified(edges, named.select("node", "text"), width, similar)), "components")
+    named_groups = materialize(components(verified(edges, named, distinct, width, similar)), "components")
     least = named_groups.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
     linked = named_groups.join(least, "component").select("node", "least", F.lit(True).alias("linked"))
     out = distinct.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("least"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 from .tokens import crc32_of, encode_slice, pieces, slices
 
 #: Rows that are ranked together at most, about; ranks of one length are added up over such parts.
@@ -129,6 +129,7 @@ def segments(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 def cut_documents(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``size`` tokens: doc_id, piece, start, length, ids_crc32. The ids stay behind."""
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(tokenizer)
         for batch in slices(batches, "text"):

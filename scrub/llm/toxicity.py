@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 
 #: Labelled documents that are learned from, at most, of each label: those of the smallest hashes of their ids.
 FIT_TOXIC, FIT_CLEAN = 4_000, 8_000
@@ -320,6 +320,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` whose text isn't predicted as toxic, all columns as they are. No shuffle."""
 
     @F.pandas_udf("boolean")
+    @releasing
     def clean(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = Automaton(model.lexicon)
         for texts in frames:
