@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scrub.llm import mixing, near_dups, packing, quality, toxicity
-from scrub.llm.common import materialize
+from scrub.llm.common import materialize, small_batches
 from scrub.llm.queries import MIX, word_tokenizer
 
 
@@ -26,12 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold no toxic word and stay; rows of equal text are judged alike.
     """
+    small_batches(spark)
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest. Null, empty and short texts go; rows of equal text are judged alike."""
+    small_batches(spark)
     return quality.keep_good(docs, _labels(spark, sf_dir))
 
 
@@ -40,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat that id and its text all stay. A row of null id stays unless its group has an id.
     """
+    small_batches(spark)
     return near_dups.keep_one(docs)
 
 
@@ -55,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 4096 tokens. Repeated rows are packed each; null ids stay null."""
+    small_batches(spark)
     return packing.pack_documents(docs, word_tokenizer(), 4096)
 
 

@@ -68,6 +68,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that ``small_batches`` lets pass to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session pass at most BATCH_ROWS rows, of BATCH_BYTES or one row, to Python workers at once from now on.
+
+    Each running task holds a batch of texts in the JVM, off its heap, and again in its worker; of Spark's usual 10,000
+    rows that is tens of MB each, which neither gives back. A session that asks for fewer rows keeps its number.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        if spark.conf.get(size, None):  # not in all versions of Spark
+            spark.conf.set(size, str(BATCH_BYTES))
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, giving what it freed back to the operating system at the end of each task.
 
