@@ -59,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 4096 tokens. Repeated rows are packed each; null ids stay null."""
     small_batches(spark)
-    return packing.pack_documents(docs, word_tokenizer(), 4096)
+    return packing.pack_documents(docs, word_tokenizer(), 4096, forget=True)
 
 
 STAGES = [

@@ -69,7 +69,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows and bytes of a batch that ``small_batches`` lets pass to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -81,7 +81,7 @@ def small_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-        if spark.conf.get(size, None):  # not in all versions of Spark
+        if spark.conf.isModifiable(size):  # Spark knows it from version 4 on
             spark.conf.set(size, str(BATCH_BYTES))
 
 

@@ -126,8 +126,11 @@ def segments(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``size`` tokens: doc_id, piece, start, length, ids_crc32. The ids stay behind."""
+def cut_documents(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
+    """Pieces of at most ``size`` tokens: doc_id, piece, start, length, ids_crc32. The ids stay behind.
+
+    With ``forget``, workers drop what they remember of encoded words after each task: less memory, more encoding.
+    """
 
     @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +143,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str
                     end = min(b - a, start + size)
                     rows.append((doc, piece, start, end - start, crc32_of(ids[a + start : a + end])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            known.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -181,7 +186,8 @@ def pack_pieces(cut: DataFrame, size: int = 4096) -> DataFrame:
     return ranked.select(*names, rank).mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, forget: bool = False) -> DataFrame:
     """Cut and pack all documents. Null and empty texts are a document of the end id alone (length 1). Rows of null id and
-    repeated rows are documents of their own; texts of any length are cut, none is left out; other columns are ignored."""
-    return pack_pieces(cut_documents(docs, tokenizer, size), size)
+    repeated rows are documents of their own; texts of any length are cut, none is left out; other columns are ignored.
+    ``forget`` as in ``cut_documents``."""
+    return pack_pieces(cut_documents(docs, tokenizer, size, forget=forget), size)
