@@ -163,5 +163,22 @@ def sifted(df: DataFrame, key: Column, bitmap: DataFrame, inside: bool) -> DataF
     return found.filter(hit if inside else ~hit).select(*df.columns)
 
 
+#: Groups of more than one row in so many are joined by broadcast.
+HOT_SHARE = 1_024
+
+
+def join_back(rows: DataFrame, groups: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` (read twice) with the columns of their group: ``groups`` has one row for each key, with its number of rows in ``copies``.
+
+    Groups of more than one row in HOT_SHARE are at most HOT_SHARE groups whatever the size of the table; those are broadcast, so
+    their rows are not moved. The others meet in a join by key, where none is large. Rows without a group are dropped.
+    """
+    hot = materialize(groups.filter(F.col(copies) * HOT_SHARE > rows.count()), "hot")
+    few = F.broadcast(hot)
+    cold = groups.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(cold, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -138,6 +138,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in each of their 120 orders, by language."""
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents and where to cut those of more than 4096, read off indexes of all their prefixes."""
+    from .prefix_counts import token_budget
+
+    return token_budget(_table(spark, sf_dir, "documents"), piece_model(), 4096)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 8 whitened components of all embeddings."""
+    from .whitening import components_of, whiten
+
+    return components_of(*whiten(_table(spark, sf_dir, "embeddings"), 8))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitpack": op1_bitpack,
@@ -150,10 +177,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_pseudo_lm": op9_pseudo_lm,
         "op10_toxicity": op10_toxicity,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_prefix_counts": op12_prefix_counts,
+        "op13_whitening": op13_whitening,
     }
 
 
-#: DuckDB SQL of op2. The others learn, tokenize, or take checksums and hashes that SQL lacks; tests hold them against plain versions.
+#: DuckDB SQL of op2 and op11. The others learn, tokenize, or take checksums and hashes that SQL lacks; tests hold them against plain versions.
 OP2_SQL = r"""
 WITH log AS (
   SELECT page_id, i, lpad(cast(page_id AS varchar), 12, '0') || '-' || i AS record_id, url AS uri, 1600000000 + page_id * 7919 % 8640000 + CASE i WHEN 0 THEN 0 WHEN 1 THEN 259200 WHEN 2 THEN 2160000 ELSE 2246400 END AS date_s, sha256(coalesce(html, '')) AS digest,
@@ -182,5 +212,35 @@ UNION ALL SELECT page_id, record_id, canonical_url, 'other', NULL, date_s, NULL,
 """
 
 
+#: Counts documents for each order and step directly, without subsets.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+yes AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM w LEFT JOIN yes ON yes.doc_id = w.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (SELECT i, substr('ABCDE', i, 1) AS c FROM range(1, 6) r(i)),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (
+  SELECT g.part, filter_order, step, o[step] AS mine, g.n, g.good, g.toxic, fails[o[step]] AS fails_mine, list_bool_or(list_transform(o[1:step - 1], lambda x: fails[x])) AS gone,
+    len(list_filter(fails, lambda x: x)) AS failed
+  FROM g, orders, range(1, 6) r(step)),
+r AS (
+  SELECT part, filter_order, step, any_value(mine) AS mine, coalesce(sum(n) FILTER (WHERE NOT coalesce(gone, false) AND NOT fails_mine), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT coalesce(gone, false) AND fails_mine), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE coalesce(gone, false) AND fails_mine), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails_mine AND failed = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT coalesce(gone, false) AND fails_mine), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT coalesce(gone, false) AND fails_mine), 0) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step)
+SELECT part, filter_order, cast(step AS integer) AS step, substr('ABCDE', mine, 1) AS filter, cast(kept AS bigint) AS kept, cast(removed AS bigint) AS removed, cast(redundant AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails,
+  cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, mine) AS bigint) AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisits": OP2_SQL}
+    return {"op2_revisits": OP2_SQL, "op11_filter_audit": OP11_SQL}
