@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Categories of which nothing is shown but what they are.
@@ -29,11 +33,41 @@ def mask_value(category: Column, value: Column) -> Column:
     return out.otherwise(masked)
 
 
+class Hmac20:
+    """First 20 hex digits of HMAC-SHA256 of strings under one key of at most 64 bytes."""
+
+    def __init__(self, key: bytes):
+        if not key or len(key) > 64:
+            raise ValueError("a key of 1 to 64 bytes is needed")
+        padded = key.ljust(64, b"\0")
+        self.inner, self.outer = (hashlib.sha256(bytes(b ^ x for b in padded)) for x in (0x36, 0x5C))
+
+    def __call__(self, message: str) -> str:
+        inner, outer = self.inner.copy(), self.outer.copy()
+        inner.update(message.encode())
+        outer.update(inner.digest())
+        return outer.hexdigest()[:20]
+
+
+_HELD: dict[tuple[str, bytes], Broadcast] = {}
+
+
+def held(spark: SparkSession, key: bytes) -> Broadcast:
+    """The key as a broadcast, one for each application. Plans, their explanations and event logs name its number only."""
+    Hmac20(key)  # a bad key fails here
+    name = (spark.sparkContext.applicationId, key)
+    if name not in _HELD:
+        _HELD[name] = spark.sparkContext.broadcast(key)
+    return _HELD[name]
+
+
 def hmac_sha256_20(message: Column, key: bytes) -> Column:
-    """First 20 hex digits of HMAC-SHA256 of a string under a key of at most 64 bytes, from built-in functions."""
-    if not key or len(key) > 64:
-        raise ValueError("a key of 1 to 64 bytes is needed")
-    padded = key.ljust(64, b"\0")
-    inner, outer = bytes(b ^ 0x36 for b in padded), bytes(b ^ 0x5C for b in padded)
-    first = F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))
-    return F.substring(F.sha2(F.concat(F.lit(outer), first), 256), 1, 20)
+    """First 20 hex digits of HMAC-SHA256 of a string. The key isn't in the plan; one pass through Arrow. Null stays null."""
+    secret = held(SparkSession.active(), key)
+
+    @F.arrow_udf("string")
+    def hmac_20(messages: pa.Array) -> pa.Array:
+        of = Hmac20(secret.value)
+        return pa.array([None if m is None else of(m) for m in messages.to_pylist()], pa.string())
+
+    return hmac_20(message)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -14,6 +15,8 @@ from pyspark.sql.types import StringType
 LINE_LIMIT = 5_000
 #: Line ends: CR LF as one, and LF VT FF CR FS GS RS NEL LS PS.
 LINE_END = "\\r\\n|[\\n\\u000B\\f\\r\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
+#: The same for Python code that passes over whole texts; other than ``split_lines`` it leaves an empty line at the end.
+LINES = re.compile(LINE_END)
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -54,6 +57,14 @@ def norm_key(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(_fold(x).casefold().split()))
 
 
+_WORD = re.compile("[A-Z0-9]+")
+
+
+def words_of(text: str) -> list[str]:
+    """What ``normalize_words`` gives, for Python code that passes over whole texts."""
+    return _WORD.findall(_fold(text).upper())
+
+
 def normalize_words(text: Column) -> Column:
     """Array of upper-case words of A-Z and 0-9, without accents."""
     words = F.split(F.trim(F.regexp_replace(F.upper(fold_accents(text)), "[^A-Z0-9]+", " ")), " ")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import to_text
-from .content import BINARY_PROBE
+from .content import BINARY_PROBE, first_of
+from .media import is_image, scan_image_metadata
 from .paths import classify_name
 from .patterns import scan_patterns
 from .terms import scan_terms
@@ -63,13 +64,33 @@ def audit_blob_paths(blob_paths: DataFrame) -> DataFrame:
 
 def scan_blobs(blobs: DataFrame, blob_paths: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(repo_id, path, category, snippet) found in blobs. Each distinct blob is scanned once, whatever the repositories and paths that
-    have it; binary ones are passed over. Per repository the smallest path names it."""
-    once = blobs.select("sha", "content").dropDuplicates(["sha"]).filter(~F.contains(F.substring("content", 1, BINARY_PROBE), F.lit(b"\0")))
-    found = _scan(once.select(F.col("sha").alias("id"), to_text(F.col("content")).alias("text")), terms).select(F.col("id").alias("sha"), "category", "snippet").distinct()
+    have it; of binary ones only images are looked at, for their metadata and its text. Per repository the smallest path names a blob."""
+    once = blobs.select("sha", "content").dropDuplicates(["sha"]).withColumn("binary", F.contains(F.substring("content", 1, BINARY_PROBE), F.lit(b"\0")))
+    texts = once.filter(~F.col("binary")).select(F.col("sha").alias("id"), to_text(F.col("content")).alias("text"))
+    # What is an image its first bytes say; a path can't be trusted to.
+    images = scan_image_metadata(once.filter(is_image(F.col("content"))).select(F.col("sha").alias("path"), "content"))
+    seen = images.select(F.col("path").alias("sha"), F.explode("findings").alias("f")).select("sha", "f.category", "f.snippet")
+    found = _scan(texts, terms).select(F.col("id").alias("sha"), "category", "snippet").union(seen).distinct()
     names = blob_paths.groupBy("repo_id", "sha").agg(F.min("path").alias("path"))
     return found.join(names, "sha").select("repo_id", "path", "category", "snippet").distinct()
 
 
+def first_alerts(alerts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(kind, alert, rank, remaining): the first alerts of each kind in order, as many as ``limits`` says, and how many of the kind remain.
+
+    Distinct alerts count. Kinds without a limit are given whole, without ranks. A task hands on no more of a kind than its limit.
+    """
+    once = alerts.select("kind", "alert").distinct()
+    counts = once.groupBy(F.col("kind").alias("_k")).agg(F.count("*").alias("n"))
+    limit = F.when(F.lit(False), F.lit(0))
+    for kind, most in limits.items():
+        limit = limit.when(F.col("kind") == kind, most)
+    bounded = first_of(once.filter(F.col("kind").isin(*limits)), ["kind"], ["alert"], max(limits.values(), default=0)).filter(F.col("rank") <= limit.otherwise(0))
+    free = once.filter(~F.col("kind").isin(*limits)).withColumn("rank", F.lit(None).cast("int"))
+    both = bounded.unionByName(free).join(counts, F.col("kind") == F.col("_k"))
+    return both.select("kind", "alert", "rank", F.greatest(F.col("n") - F.coalesce(limit.otherwise(None), F.col("n")), F.lit(0)).alias("remaining"))
+
+
 def audit_policy(files: DataFrame, usage_lines: tuple[str, ...] = USAGE_LINES, entries: tuple[str, ...] = IGNORE_ENTRIES, words: tuple[str, ...] = NOTICE_WORDS, title: str = USAGE_TITLE) -> DataFrame:
     """(repo_id, problem) by the root files of each repository (repo_id, path, text). One aggregation, on conditions."""
     upper = F.upper("path")

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.masking import mask_value
-from ..functions.text import bind, cut_line, split_lines, to_text
+from ..functions.text import bind, to_text
 from .paths import classify_name, path_parts
-from .patterns import PATTERNS, PERSONAL, Pattern, any_hint, find_all
+from .patterns import PATTERNS, PERSONAL, Pattern, find_all
+from .prefilter import lines_to_try
 
 #: Limits on what is scanned. Fixed values.
 MAX_TEXT, MAX_DATA_TEXT, BINARY_PROBE, MANY_PERSONAL, FINDINGS_KEPT = 2 << 20, 150 << 10, 8_192, 5, 40
@@ -27,10 +28,9 @@ def content_gate(content: Column, name_status: Column) -> Column:
 
 
 def findings_of(text: Column, source: str | None = None, patterns: list[Pattern] | None = None) -> Column:
-    """All findings of a text as one array, in scan order; the row stays one row, so nothing is shuffled."""
-    hint = any_hint(patterns or PATTERNS)
-    lines = F.filter(F.transform(split_lines(text), lambda x, i: F.struct((i + 1).alias("line"), cut_line(x).alias("t"))), lambda x: x["t"].rlike(hint))
-    found = F.flatten(F.transform(lines, lambda x: F.transform(find_all(x["t"], patterns), lambda f: F.struct(
+    """All findings of a text as one array, in scan order; the row stays one row, so nothing is shuffled. Null gives none."""
+    lines = lines_to_try(patterns or PATTERNS)(text)
+    found = F.flatten(F.transform(lines, lambda x: F.transform(find_all(x["text"], x["tries"], patterns), lambda f: F.struct(
         x["line"].alias("line"), f["category"].alias("category"), mask_value(f["category"], f["shown"]).alias("snippet"), F.lit(source).cast("string").alias("source")))))
     return F.coalesce(found, F.array().cast(FINDING))
 
@@ -48,8 +48,23 @@ def classify_content(name_status: Column, ext: Column, size: Column, total: Colu
     )
 
 
+def first_of(rows: DataFrame, by: list[str], order: list[Column | str], keep: int) -> DataFrame:
+    """The first ``keep`` rows of each group with their rank. Each task keeps no more of a group before the shuffle, so a group of any size is no burden."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= keep)
+
+
+def _first_findings(extra: DataFrame) -> DataFrame:
+    """(path, _more): the first FINDINGS_KEPT findings of each path, and how many there are."""
+    finding = F.struct(F.col("line").cast("int").alias("line"), "category", "snippet", "source")
+    totals = extra.groupBy("path").agg(F.count("*").cast("int").alias("total"), F.count_if(F.col("category").isin(*PERSONAL)).cast("int").alias("personal"))
+    first = first_of(extra.select("path", finding.alias("f")), ["path"], ["f"], FINDINGS_KEPT).groupBy("path").agg(F.array_sort(F.collect_list("f")).alias("findings"))
+    both = totals.join(first.withColumnRenamed("path", "_p"), F.col("path").eqNullSafe(F.col("_p")))
+    return both.select("path", F.struct("findings", "total", "personal").alias("_more"))
+
+
 def inventory(files: DataFrame, patterns: list[Pattern] | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """Plan rows for a table of files (path, content BINARY; optional size, mtime_ns, is_symlink, ocr_text).
+    """Plan rows for a table of files (path, content BINARY; optional size, mtime_ns, is_symlink, ocr_text, sha256 of the
+    whole file where content is its beginning only).
 
     Columns: path, size, mtime_ns, sha256, status, reasons, review_kind (extension, folder, name or null), findings (first
     FINDINGS_KEPT of the content, and as many of the others), total_findings (null if nothing was scanned),
@@ -71,26 +86,24 @@ def inventory(files: DataFrame, patterns: list[Pattern] | None = None, extra: Da
     excluded = F.col("_name.status").eqNullSafe("EXCLUDE")
     gates = F.when(excluded, gate(False, "EXCLUDE", None)).when(F.col("content").isNull(), gate(False, "REVIEW", "unreadable")).otherwise(content_gate(F.col("content"), F.col("_name.status")))
     rows = named.withColumn("_gate", gates)
-    inside = F.when(F.col("_gate.scan"), findings_of(to_text(F.col("content")), patterns=patterns))
+    inside = F.when(F.col("_gate.scan"), findings_of(F.when(F.col("_gate.scan"), to_text(F.col("content"))), patterns=patterns))
     ocr = given("ocr_text", "string")
-    read = F.when(~excluded & ocr.isNotNull(), findings_of(ocr, "ocr", patterns))
+    read = F.when(~excluded & ocr.isNotNull(), findings_of(F.when(~excluded, ocr), "ocr", patterns))
     personal = lambda f: F.size(F.filter(f, lambda x: x["category"].isin(*PERSONAL)))
     summed = lambda f: F.struct(F.slice(f, 1, FINDINGS_KEPT).alias("findings"), F.size(f).alias("total"), personal(f).alias("personal"))
     # Generated, so that neither later columns nor filters pushed down from above scan the text again.
     rows = rows.withColumn("_found", F.explode(F.array(bind(inside, summed))))
     rows = rows.withColumn("_ocr", F.explode(F.array(bind(read, summed)))) if "ocr_text" in files.columns else rows.withColumn("_ocr", F.lit(None).cast(f"struct<findings:{FINDING},total:int,personal:int>"))
     rows = rows.select(
-        "path", F.coalesce(given("size", "long"), F.length("content").cast("long")).alias("size"), given("mtime_ns", "long").alias("mtime_ns"), F.when(~excluded, F.sha2("content", 256)).alias("sha256"),
+        "path", F.coalesce(given("size", "long"), F.length("content").cast("long")).alias("size"), given("mtime_ns", "long").alias("mtime_ns"), F.when(~excluded, F.coalesce(given("sha256", "string"), F.sha2("content", 256))).alias("sha256"),
         "_name", "_gate", "_found", "_ocr", F.length("content").alias("_length"), F.when(~excluded, F.length(F.trim(ocr))).alias("ocr_chars"),
     )
     if extra is None:
         rows = rows.withColumn("_more", F.lit(None).cast(f"struct<findings:{FINDING},total:int,personal:int>"))
     else:
-        finding = F.struct(F.col("line").cast("int").alias("line"), "category", "snippet", "source")
-        by_path = extra.groupBy("path").agg(F.struct(
-            F.slice(F.array_sort(F.collect_list(finding)), 1, FINDINGS_KEPT).alias("findings"), F.count("*").cast("int").alias("total"), F.count_if(F.col("category").isin(*PERSONAL)).cast("int").alias("personal"),
-        ).alias("_more"))
-        rows = rows.join(by_path, "path", "left").withColumn("_more", F.when(F.col("_name.status").eqNullSafe("EXCLUDE"), None).otherwise(F.col("_more")))
+        # A null path meets the findings of all null paths: rather too many than none.
+        by_path = _first_findings(extra).withColumnRenamed("path", "_path")
+        rows = rows.join(by_path, F.col("path").eqNullSafe(F.col("_path")), "left").drop("_path").withColumn("_more", F.when(F.col("_name.status").eqNullSafe("EXCLUDE"), None).otherwise(F.col("_more")))
     parts = ("_found", "_ocr", "_more")
     total, some = F.lit(0), F.lit(False)
     people = F.lit(0)
@@ -110,9 +123,8 @@ def inventory(files: DataFrame, patterns: list[Pattern] | None = None, extra: Da
 
 def cap_findings(found: DataFrame, keep: int = FINDINGS_KEPT) -> DataFrame:
     """First findings of each id in scan order, with the total of all: adds rank and total_findings."""
-    by = W.partitionBy("id")
-    ranked = found.withColumn("rank", F.row_number().over(by.orderBy("line", "pattern_no", "match_no"))).withColumn("total_findings", F.count("*").over(by))
-    return ranked.filter(F.col("rank") <= keep)
+    totals = found.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("total_findings"))
+    return first_of(found, ["id"], ["line", "pattern_no", "match_no"], keep).join(totals, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def status_summary(plan: DataFrame) -> DataFrame:
@@ -127,13 +139,22 @@ def category_summary(found: DataFrame, keep: int | None = None) -> DataFrame:
 
 
 def file_category_counts(found: DataFrame, lines: int = 15) -> DataFrame:
-    """Findings of each id and category, and the first distinct lines. Partial aggregation first: by line, then by id."""
+    """Findings of each id and category, and the first distinct lines. By line first; then no more than ``lines`` lines of an id and category are moved and put together."""
     by_line = found.groupBy("id", "category", "line").agg(F.count("*").alias("n"))
-    return by_line.groupBy("id", "category").agg(F.sum("n").alias("findings"), F.slice(F.array_sort(F.collect_list("line")), 1, lines).alias("lines"))
+    sums = by_line.groupBy(F.col("id").alias("_id"), F.col("category").alias("_c")).agg(F.sum("n").alias("findings"))
+    first = first_of(by_line, ["id", "category"], ["line"], lines).groupBy("id", "category").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return first.join(sums, (F.col("category") == F.col("_c")) & F.col("id").eqNullSafe(F.col("_id"))).select("id", "category", "findings", "lines")
 
 
 def top_k_per_status(plan: DataFrame, k: int = 80) -> DataFrame:
-    """First k paths of each status by lower-case path, with how many remain."""
-    by = W.partitionBy("status")
-    ranked = plan.withColumn("rank", F.row_number().over(by.orderBy(F.lower("path"), "path"))).withColumn("remaining", F.greatest(F.count("*").over(by) - k, F.lit(0)))
-    return ranked.filter(F.col("rank") <= k)
+    """First k paths of each status by lower-case path, with how many remain. A task hands on k rows of a status at most."""
+    ranked = first_of(plan.withColumn("_low", F.lower("path")), ["status"], ["_low", "path"], k).drop("_low")
+    counts = plan.groupBy("status").agg(F.greatest(F.count("*") - k, F.lit(0)).alias("remaining"))
+    return ranked.join(counts, "status")
+
+
+def order_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The files in the order of their lower-case paths (equal ones by path), over partitions as within them. Written as they are, the parts' names keep the order."""
+    keys = (F.lower("path"), F.col("path"))
+    ranges = files.repartitionByRange(partitions, *keys) if partitions else files.repartitionByRange(*keys)
+    return ranges.sortWithinPartitions(*keys)

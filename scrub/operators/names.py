@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.masking import hmac_sha256_20
-from ..functions.text import bind, cut_line, normalize_words, split_lines
+from ..functions.masking import Hmac20, held, hmac_sha256_20
+from ..functions.text import LINE_LIMIT, LINES, normalize_words, words_of
 
 PARTICLES = ("DA", "DE", "DO", "DAS", "DOS", "E", "D")
 #: Endings of company names, and words too common in them to identify one alone. Parameters of the functions below; fixed values.
@@ -94,30 +98,99 @@ def _greedy(hits: Column) -> Column:
     )
 
 
+#: Bits of a pair filter: 16 a stored pair, and no more than 2**27 (16 MB), of which 2**21 words come to the driver.
+FEWEST_BITS, MOST_BITS, BITS_A_PAIR = 1 << 16, 1 << 27, 16
+#: Hex digits of a hash that serve as its places in the filter: the hash is keyed and uniform, so parts of it are hashes of their own.
+_PLACES = (0, 6, 12)
+#: Word pairs whose answers a worker remembers.
+REMEMBERED_PAIRS = 300_000
+
+
+def pair_filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the stored pairs: 64-bit words of a bitmap. Built by a grouping that combines bits before the shuffle."""
+    pairs = hashes.select("pair").distinct()
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_A_PAIR * pairs.count() - 1).bit_length()))
+    places = F.array(*(F.pmod(F.conv(F.substring("pair", i + 1, 8), 16, 10).cast("long"), F.lit(bits)) for i in _PLACES))
+    place = pairs.select(F.explode(places).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("at"), F.lit(64)).cast("int"))
+    words = place.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+class NameScanner:
+    """Hashes of the word sequences of a text that may be stored names: those whose first two words pass the filter, if there is one."""
+
+    def __init__(self, key: bytes, words: np.ndarray | None, generic: tuple[str, ...]):
+        self.of, self.words, self.common = Hmac20(key), words, frozenset((*generic, *PARTICLES))
+        self.mask = 64 * len(words) - 1 if words is not None else 0
+        self.known: dict[str, bool] = {}
+
+    def may_begin(self, pair: str) -> bool:
+        if self.words is None:
+            return True
+        known = self.known.get(pair)
+        if known is None:
+            if len(self.known) >= REMEMBERED_PAIRS:
+                self.known.clear()
+            digits = self.of(pair)
+            places = [int(digits[i : i + 8], 16) & self.mask for i in _PLACES]
+            known = self.known[pair] = all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in places)
+        return known
+
+    def find(self, text: str) -> Iterator[tuple[int, int, int, str]]:
+        """(line from 1, first word from 0, words, hash) of each sequence of 2 to WINDOW words that can be a variant."""
+        for number, line in enumerate(LINES.split(text), 1):
+            w = words_of(line[:LINE_LIMIT])
+            for start in range(len(w) - 1):
+                if self.may_begin(f"{w[start]} {w[start + 1]}"):
+                    for n in range(2, min(WINDOW, len(w) - start) + 1):
+                        some = w[start : start + n]
+                        if len(some[0]) < 2 or len(some[-1]) < 2:
+                            break  # no longer sequence from here is valid either
+                        if not self.common.issuperset(some):
+                            yield number, start, n, self.of(" ".join(some))
+
+
+def _scan(spark: SparkSession, key: bytes, words: np.ndarray | None, generic: tuple[str, ...]) -> Callable[[Column], Column]:
+    secret, bitmap = held(spark, key), spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf("array<struct<line:int,start:int,n:int,hash:string>>")
+    def sequences(texts: pa.Array) -> pa.Array:
+        scanner = NameScanner(secret.value, bitmap.value, generic)
+        sizes, columns = [0], ([], [], [], [])
+        for text in texts.to_pylist():
+            for row in scanner.find(text) if text else ():
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            sizes.append(len(columns[0]))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+        rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["line", "start", "n", "hash"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
+
+    return sequences
+
+
 def scan_protected(df: DataFrame, hashes: DataFrame, key: bytes | None, allow: DataFrame | None = None, id_col: str = "id", text: str = "text", generic: tuple[str, ...] = GENERIC) -> DataFrame:
     """Hits (id, line, start, words) of protected names in text; ``start`` counts words from 0.
 
     ``hashes`` has a column hash; ``allow`` a column sequence of normalised words that never count, while
-    shorter ones inside still do. Without a key nothing could be found, so that is an error. Sequences
-    of 2 to 8 words are made, from places whose first two words begin a stored variant if ``hashes``
-    has a column pair; those that can be no stored variant are dropped, the rest hashed and joined; only hits
-    are grouped again.
+    shorter ones inside still do. Without a key nothing could be found, so that is an error.
+
+    One pass over the texts hashes two words at each place and looks for them in a Bloom filter of the stored pairs; only from places that pass
+    sequences of 2 to 8 words are hashed, and only these hashes are joined with the stored ones. No word, name or key leaves the
+    pass. If ``hashes`` has no column pair, all sequences are hashed and joined. Only hits are grouped again.
     """
     if not key:
         raise ValueError("protected names can't be matched without their key")
-    lines = F.transform(split_lines(F.col(text)), lambda x, i: F.struct((i + 1).alias("line"), cut_line(x).alias("t")))
-    rows = df.select(F.col(id_col).alias("id"), F.explode(lines).alias("l")).select("id", "l.line", normalize_words(F.col("l.t")).alias("w")).filter(F.size("w") >= 2)
-    # From here on a place has its window of words only, so that rows stay small whatever the line.
-    windows = bind(F.col("w"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, F.lit(WINDOW)).alias("w"))))
-    places = rows.select("id", "line", F.explode(windows).alias("p")).select("id", "line", "p.start", "p.w")
-    if "pair" in hashes.columns:
-        places = places.withColumn("pair", hmac_sha256_20(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))), key)).join(hashes.select("pair").distinct(), "pair", "left_semi")
-    grams = places.withColumn("n", F.explode(F.sequence(F.lit(2), F.size("w")))).select("id", "line", "start", "n", F.slice("w", F.lit(1), F.col("n")).alias("v"))
-    grams = grams.filter(is_valid_variant(F.col("v"), generic)).select("id", "line", "start", "n", F.array_join("v", " ").alias("sequence"))
+    words = pair_filter(hashes) if "pair" in hashes.columns else None
+    found = F.explode(_scan(df.sparkSession, key, words, generic)(F.col(text).cast("string"))).alias("s")
+    grams = df.select(F.col(id_col).alias("id"), found).select("id", "s.line", "s.start", "s.n", "s.hash")
     if allow is not None:
-        grams = grams.join(allow.select("sequence").distinct(), "sequence", "left_anti")
-    hits = grams.withColumn("hash", hmac_sha256_20(F.col("sequence"), key)).join(hashes.select("hash").distinct(), "hash", "left_semi")
-    taken = hits.groupBy("id", "line").agg(_greedy(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n")))).alias("h"))
+        grams = grams.join(allow.select(hmac_sha256_20(F.col("sequence"), key).alias("hash")).distinct(), "hash", "left_anti")
+    hits = grams.join(hashes.select("hash").distinct(), "hash", "left_semi")
+    taken = hits.groupBy("id", "line").agg(_greedy(F.collect_list(F.struct("start", "n"))).alias("h"))
     return taken.select("id", "line", F.explode("h").alias("h")).select("id", "line", "h.start", F.col("h.n").alias("words"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .patterns import PATTERNS, Pattern, any_hint, find_spans, lines_of, scan_patterns
+from .patterns import PATTERNS, Pattern, candidate_lines, find_spans, scan_patterns
+from .prefilter import patterns_to_try
 from .terms import fold
 
 #: Category -> what stands in its place; a parameter of the functions below.
@@ -28,35 +29,36 @@ def _placeholder(placeholders: dict[str, str], category: Column) -> Column:
     return F.coalesce(by[category], F.lit("YOUR_VALUE"))
 
 
-def _replace_line(line: Column, placeholders: dict[str, str], patterns: list[Pattern]) -> Column:
+def _replace_line(line: Column, tries: Column, placeholders: dict[str, str], patterns: list[Pattern]) -> Column:
     """The whole line with its values replaced where they stand. The cut of long lines is for scans only."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     rest = lambda s: F.substr(line, s["at"] + 1, F.length(line) - s["at"])
     step = lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["text"], F.substr(line, s["at"] + 1, x["start"] - s["at"]), _placeholder(placeholders, x["category"])).alias("text"))
-    return F.aggregate(find_spans(line, patterns), start, step, lambda s: F.concat(s["text"], rest(s)))
+    return F.aggregate(find_spans(line, tries, patterns), start, step, lambda s: F.concat(s["text"], rest(s)))
 
 
 def redact(df: DataFrame, text: str = "text", placeholders: dict[str, str] | None = None, patterns: list[Pattern] | None = None) -> DataFrame:
     """The table with found values in ``text`` replaced, line ends and all else unchanged. Null stays null. No shuffle.
 
-    A value is replaced where it was found and nowhere else: ``password = "password"`` keeps its name. Texts in
-    which no pattern's hint is found pass as they are.
+    A value is replaced where it was found and nowhere else: ``password = "password"`` keeps its name. Only the patterns that
+    may match in a text are tried on its lines; texts without any pass as they are.
     """
     places, patterns = placeholders or PLACEHOLDERS, patterns or PATTERNS
     # Line ends are kept as elements of their own.
-    col = F.col(text)
+    own = "_tries" + "_" * max(map(len, df.columns))  # no column of df
+    col, tries = F.col(text), F.col(own)
     ends = "[\\n\\r\\u000B\\f\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
     lines = F.split(col, f"(?<={ends})|(?={ends})")
-    replaced = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(any_hint(patterns)), _replace_line(x, places, patterns)).otherwise(x)), "")
-    return df.withColumn(text, F.when(col.rlike(any_hint(patterns)), replaced).otherwise(col))
+    replaced = F.array_join(F.transform(lines, lambda x: _replace_line(x, tries, places, patterns)), "")
+    return df.withColumn(own, patterns_to_try(patterns)(col)).withColumn(text, F.when(F.size(tries) > 0, replaced).otherwise(col)).drop(own)
 
 
 def redaction_log(df: DataFrame, id_col: str = "id", text: str = "text", placeholders: dict[str, str] | None = None, patterns: list[Pattern] | None = None) -> DataFrame:
     """(id, category, replaced, placeholder): how many places were replaced by what; never the value. A place that several
     patterns match counts once."""
     patterns = patterns or PATTERNS
-    rows = lines_of(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", any_hint(patterns), cut=False)
-    counts = rows.select("id", F.explode(find_spans(F.col("line_text"), patterns)).alias("s")).groupBy("id", F.col("s.category").alias("category")).agg(F.count("*").alias("replaced"))
+    rows = candidate_lines(df, id_col, text, patterns, cut=False)
+    counts = rows.select("id", F.explode(find_spans(F.col("line_text"), F.col("tries"), patterns)).alias("s")).groupBy("id", F.col("s.category").alias("category")).agg(F.count("*").alias("replaced"))
     return counts.withColumn("placeholder", _placeholder(placeholders or PLACEHOLDERS, F.col("category")))
 
 

@@ -26,6 +26,13 @@ def diff_verified(released: DataFrame, disk: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").withColumn("problem", problem).filter("problem is not null").select("path", "problem")
 
 
+def verified_problems(released: DataFrame, disk: DataFrame, clean: bool, same_root: bool) -> DataFrame:
+    """(path, problem): what stands between a verification and the files on disk, and, with null paths, that it isn't clean or is of another folder."""
+    of_run = [("verification isn't clean", not clean), ("verification is of another folder", not same_root)]
+    rows = released.sparkSession.createDataFrame([(None, problem) for problem, holds in of_run if holds], "path string, problem string")
+    return diff_verified(released, disk).unionByName(rows)
+
+
 def apply_synthetic(plan: DataFrame, registry: DataFrame) -> DataFrame:
     """Plan with registered synthetic files: an equal hash lifts a review for name or folder, but none for the extension.
 

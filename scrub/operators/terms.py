@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-import re
+import getpass
+import socket
+import string
 import unicodedata
+import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.masking import LABELS, hmac_sha256_20
-from ..functions.text import fold_accents, norm_key
-from .patterns import lines_of
+from ..functions.masking import LABELS, Hmac20
+from ..functions.text import LINE_LIMIT, LINES, norm_key
 
-#: Up to this many terms one test for each is put into the plan; beyond, terms are joined by their first word.
-INLINE_TERMS = 64
-#: Terms without a letter or digit that a list may have.
-MOST_WORDLESS = 1_000
-_EDGE = "A-Za-z0-9"
+#: Terms of one automaton, some 100 MB for a worker.
+TERMS_AT_ONCE = 500_000
+#: Characters that can't stand beside a term: letters and digits of A-Z; ``_`` is an edge.
+EDGES = frozenset(string.ascii_letters + string.digits)
 
 
 def fold(term: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", term) if not unicodedata.combining(c))
-
-
-def term_regex(term: str) -> str:
-    """Regex for folded text: the term with no letter or digit of A-Z on either side; ``_`` is an edge."""
-    return f"(?i)(?<![{_EDGE}]){re.escape(fold(term))}(?![{_EDGE}])"
+    return term if term.isascii() else "".join(c for c in unicodedata.normalize("NFKD", term) if not unicodedata.combining(c))
 
 
 def merge_terms(*tables: DataFrame) -> DataFrame:
@@ -41,39 +41,85 @@ def _label(category: Column) -> Column:
     return F.when(category == "internal_term", LABELS["internal_term"]).otherwise(LABELS["sensitive_term"])
 
 
+def automatic_terms(spark: SparkSession, names: tuple[str, ...] | None = None, least: int = 3) -> DataFrame:
+    """(term, category) of names that shouldn't leave a machine: this user's and host's, or those given. Short ones are left out."""
+    names = (getpass.getuser(), socket.gethostname()) if names is None else names
+    return spark.createDataFrame(sorted({(n.strip(), "sensitive_term") for n in names if len(n.strip()) >= least}), "term string, category string")
+
+
+class TermMatcher:
+    """An automaton of folded lower-case terms, each with what is said of it."""
+
+    def __init__(self, entries: dict[str, list[tuple[str | None, str]]]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for term, said in entries.items():
+            self.automaton.add_word(term, (len(term), said))
+        if entries:
+            self.automaton.make_automaton()
+
+    def find(self, text: str) -> Iterator[tuple[int, str | None, str]]:
+        """(line from 1, key, category) of each term and line that holds it, in the order of lines."""
+        for number, line in enumerate(LINES.split(text), 1):
+            line = fold(line[:LINE_LIMIT]).lower()
+            seen = set()
+            for end, (size, said) in self.automaton.iter(line):
+                at = end + 1 - size
+                term = line[at : end + 1]
+                if term in seen:
+                    continue
+                if (at and line[at - 1] in EDGES) or (end + 1 < len(line) and line[end + 1] in EDGES):
+                    continue
+                seen.add(term)
+                for key, category in said:
+                    yield number, key, category
+
+
+@lru_cache(2)
+def _matcher(name: str, held: Broadcast) -> TermMatcher:
+    """One for each worker and list; ``name`` tells lists apart."""
+    return TermMatcher(held.value)
+
+
+def _keyed(rows: list, key: bytes | None) -> dict[str, list[tuple[str | None, str]]]:
+    of = Hmac20(key) if key else lambda term: None
+    entries: dict[str, list[tuple[str | None, str]]] = {}
+    for term, category in rows:
+        entries.setdefault(fold(term).lower(), []).append((of(term), category))
+    return entries
+
+
 def scan_terms(df: DataFrame, terms: DataFrame, id_col: str = "id", text: str = "text", key: bytes | None = None) -> DataFrame:
     """(id, line, term_key, category, snippet): one row for each line and term that it holds; the snippet hides the term.
 
-    term_key is the keyed hash of the term (null without a key, as an unkeyed one could be looked up in a word list). A list beyond
-    INLINE_TERMS is joined to the words of lines by each term's first word, and then tested; the list
-    may be of any size. Terms without a letter or digit, MOST_WORDLESS at most, are tested on every line.
+    term_key is the keyed hash of the term (null without a key, as an unkeyed one could be looked up in a word list). The terms
+    are one automaton, broadcast, that passes over each text once; neither they nor the key are in the plan. Of longer
+    lists each TERMS_AT_ONCE terms are one automaton and one pass. No shuffle.
     """
-    rows = lines_of(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
-    # Generated, so that filters pushed down don't fold each line again.
-    lines = rows.select("id", "line", F.explode(F.array(fold_accents("line_text"))).alias("folded"))
-    keyed = terms.select(F.col("term"), F.col("category")).withColumn("folded_term", fold_accents("term")).filter("trim(folded_term) <> ''")
-
-    def inline(some: list[tuple]) -> DataFrame:
-        found = F.array_compact(F.array(*(F.when(F.col("folded").rlike(term_regex(t)), F.struct(F.lit(t).alias("term"), F.lit(c).alias("category"))) for t, c, *_ in some)))
-        return lines.select("id", "line", F.explode(found).alias("t")).select("id", "line", "t.term", "t.category")
-
-    few = [tuple(r) for r in keyed.limit(INLINE_TERMS + 1).collect()]
-    if not few:
-        return lines.select("id", "line", F.lit("").alias("term_key"), F.lit("").alias("category"), F.lit("").alias("snippet")).limit(0)
-    if len(few) <= INLINE_TERMS:
-        hits = inline(few)
-    else:
-        token = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-        first = keyed.withColumn("token", F.get(token(F.col("folded_term")), F.lit(0)))
-        wordless = [tuple(r) for r in first.filter("token is null").limit(MOST_WORDLESS + 1).collect()]
-        if len(wordless) > MOST_WORDLESS:
-            raise ValueError(f"over {MOST_WORDLESS} terms have no letter or digit")
-        words = lines.withColumn("token", F.explode(F.array_distinct(token(F.col("folded")))))
-        escaped = F.concat(F.lit(f"(?i)(?<![{_EDGE}])\\Q"), F.replace(F.col("folded_term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?![{_EDGE}])"))
-        hits = words.join(first, "token").filter(F.rlike(F.col("folded"), escaped)).select("id", "line", "term", "category")
-        hits = hits.union(inline(wordless)) if wordless else hits
-    hashed = hmac_sha256_20(F.col("term"), key) if key else F.lit(None).cast("string")
-    return hits.select("id", "line", hashed.alias("term_key"), "category", _label(F.col("category")).alias("snippet"))
+    spark = df.sparkSession
+    listed = terms.select("term", "category").filter("trim(term) <> ''")
+    parts = max(1, -(-listed.count() // TERMS_AT_ONCE))
+    numbered = listed.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    texts, out = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")), None
+    for part in range(parts):
+        entries = _keyed([(r["term"], r["category"]) for r in numbered.filter(F.col("part") == part).collect()], key)
+        entries.pop("", None)
+        found = texts.select("id", F.explode(_matches(spark, entries)(F.col("text"))).alias("t")).select("id", "t.line", "t.term_key", "t.category")
+        out = found if out is None else out.unionByName(found)
+    return out.select("id", "line", "term_key", "category", _label(F.col("category")).alias("snippet"))
+
+
+def _matches(spark: SparkSession, entries: dict[str, list[tuple[str | None, str]]]) -> Callable[[Column], Column]:
+    name, held = uuid.uuid4().hex, spark.sparkContext.broadcast(entries)
+
+    @F.arrow_udf("array<struct<line:int,term_key:string,category:string>>")
+    def terms_in(texts: pa.Array) -> pa.Array:
+        matcher = _matcher(name, held)
+        rows = [[{"line": n, "term_key": k, "category": c} for n, k, c in matcher.find(t)] if t and len(matcher.automaton) else [] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("line", pa.int32()), ("term_key", pa.string()), ("category", pa.string())])))
+
+    return terms_in
 
 
 # The term store: a table (list, value), one row for each term.
@@ -92,6 +138,12 @@ def remove_terms(store: DataFrame, gone: DataFrame) -> DataFrame:
     return store.withColumn("_key", norm_key("value")).join(gone.select("list", norm_key("value").alias("_key")).distinct(), ["list", "_key"], "left_anti").select("list", "value")
 
 
+def removed_count(store: DataFrame, gone: DataFrame) -> DataFrame:
+    """(list, removed): rows of the store that ``remove_terms`` takes out."""
+    hit = store.withColumn("_key", norm_key("value")).join(gone.select("list", norm_key("value").alias("_key")).distinct(), ["list", "_key"], "left_semi")
+    return hit.groupBy("list").agg(F.count("*").alias("removed"))
+
+
 def contains_terms(asked: DataFrame, store: DataFrame) -> DataFrame:
     """``asked`` (list, value) rows that the store has."""
     return asked.withColumn("_key", norm_key("value")).join(store.select("list", norm_key("value").alias("_key")), ["list", "_key"], "left_semi").select("list", "value")

@@ -15,8 +15,9 @@ from .functions.text import bind, normalize_words, slugify, split_lines
 from .operators import audits, content, media, names, paths, patterns, redaction, snapshots, terms
 from .oracles import KEY, PERSONAL_CATEGORIES, SECRET_CATEGORIES, URL_CATEGORIES
 from .plans import workflows
+from .sources.files import spread
 from .sources.sinks import decrypt_terms, encrypt_terms
-from .views import BEFORE, COMMITS, NOW, PATHS, PERSONAL, SECRETS, dialect
+from .views import BEFORE, COMMITS, NOW, PATHS, PERSONAL, SECRETS, SPELLINGS, dialect
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,8 +29,9 @@ def query(f: Query) -> Query:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, read in the splits that it has."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One of texts that has fewer splits than there are cores is dealt out to them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -87,6 +89,12 @@ def scan_urls_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.scan_patterns(pages.unionByName(_secret_texts(spark, sf_dir)), patterns=_only(URL_CATEGORIES)).select("id", "line", "category", "snippet")
 
 
+@query
+def scan_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted values of all categories in uncommon spellings; the SQL names each value, without expressions."""
+    return patterns.scan_patterns(_view(spark, sf_dir, SPELLINGS)).select("id", "line", "category", "snippet")
+
+
 @query
 def placeholder_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["cpf", "cnpj", "court_case", "court_case_bare", "phone", "cep", "email", "private_ip"]
@@ -193,7 +201,7 @@ def lookup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.redact(_view(spark, sf_dir, SECRETS)).filter(~F.col("kind").isin(8, 9, 10)).select("id", "text")
+    return redaction.redact(_view(spark, sf_dir, SECRETS)).select("id", "text")
 
 
 @query
@@ -269,22 +277,30 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = audits.audit_commit_emails(_commits(spark, sf_dir))
-    none = _view(spark, sf_dir, PATHS).limit(0)
-    clean = snapshots.dataset_clean(none.select(F.lit(True).alias("releasable")), none.select(F.lit("").alias("dir")))
-    who = audits.audit_identity(_identities(spark, sf_dir))
-    history = alerts.limit(1).select(F.lit("history").alias("category"))
-    return snapshots.gate_report(clean, True, who, none.select("path"), alerts, history, "PRIVATE", True, True)
+    """The gate's report on the real plan, folders, snapshots, policy problems, findings, commits and answers about the remote."""
+    alerts, plan = audits.audit_commit_emails(_commits(spark, sf_dir)), _releasable(_plan(spark, sf_dir))
+    clean = snapshots.dataset_clean(plan, paths.prune_ignored_dirs(_view(spark, sf_dir, PATHS))[1])
+    intact, tree_clean = diff_snapshot(spark, sf_dir).isEmpty(), diff_verified(spark, sf_dir).isEmpty()
+    remote = visibility(spark, sf_dir).agg(F.min_by("visibility", "id")).first()[0]
+    categories = snapshots.sensitive_categories(plan, alerts)
+    return snapshots.gate_report(clean, intact, audits.audit_identity(_identities(spark, sf_dir)), policy_audit(spark, sf_dir), alerts, categories, remote, not _commits(spark, sf_dir).isEmpty(), tree_clean)
 
 
 @query
 def release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate's report on the real plan, folders, snapshots, policy problems and findings. No SQL is given."""
-    alerts, plan = audits.audit_commit_emails(_commits(spark, sf_dir)), _releasable(_plan(spark, sf_dir))
-    clean = snapshots.dataset_clean(plan, paths.prune_ignored_dirs(_view(spark, sf_dir, PATHS))[1])
-    intact = snapshots.diff_snapshot(_view(spark, sf_dir, BEFORE), _view(spark, sf_dir, NOW)).isEmpty()
-    categories = snapshots.sensitive_categories(plan, alerts)
-    return snapshots.gate_report(clean, intact, audits.audit_identity(_identities(spark, sf_dir)), policy_audit(spark, sf_dir), alerts, categories, "PRIVATE", True, True)
+    """The same report by its earlier name."""
+    return gate_report(spark, sf_dir)
+
+
+@query
+def alert_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first alerts of each kind: 10 changes of the source, 20 pending files, 30 of the history, all folders."""
+    history = audits.audit_commit_emails(_commits(spark, sf_dir)).select(F.lit("history").alias("kind"), F.concat_ws(" ", "repo_id", "commit", "role").alias("alert"))
+    plan = _releasable(_plan(spark, sf_dir)).filter(~F.coalesce("releasable", F.lit(False)))
+    source = diff_snapshot(spark, sf_dir).select(F.lit("source").alias("kind"), F.concat_ws(" ", "path", "change").alias("alert"))
+    folders = paths.prune_ignored_dirs(_view(spark, sf_dir, PATHS))[1].select(F.lit("folder").alias("kind"), F.col("dir").alias("alert"))
+    pending = plan.select(F.lit("pending").alias("kind"), F.concat_ws(" ", "path", "status").alias("alert"))
+    return audits.first_alerts(history.unionByName(source).unionByName(folders).unionByName(pending), {"source": 10, "pending": 20, "history": 30})
 
 
 @query

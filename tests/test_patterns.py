@@ -1,9 +1,13 @@
 """A positive, a negative and a stand-in for each pattern; values are put together here so that none stands in the repository."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from scrub.operators.patterns import PATTERNS, scan_patterns
+from scrub.operators.formats import token_formats
+from scrub.operators.patterns import PATTERNS, Pattern, find_all, scan_patterns
+from scrub.operators.prefilter import Prefilter, lines_to_try, spec_of
 from scrub.operators.redaction import PLACEHOLDERS, redact, redact_terms, redaction_log, redaction_residual
 
 H = "0123456789abcdef" * 4
@@ -16,6 +20,11 @@ POSITIVE = {
     "cpf": "123.456." + "789-09", "cnpj": "12.345.678/" + "0001-95", "court_case": "1234567-89." + "2020.5.01.0001", "court_case_bare": "n 1234567890" + "1234567890 x", "email": "ana@" + "corp.net",
     "phone": "(11) 9" + "8765-4321", "cep": "01310" + "-100", "address": "Rua Augusta, " + "1200", "litigation_party": "Reclamante: Joana " + "da Silva", "bar_number": "OAB/SP " + "123.456",
 }
+MORE = [
+    "OAB/SP n.º. 123.456", "oab sp no.º 123456", "OAB RJ n.o. 12.345", "OAB mg nº° 1234", "RÉU: João Silva", "réu = 'Ana de Souza", "cliente - Zé Prado", "R. Augusta dos Anjos, 12", "Av. Brasil,7", "Praça Onze, 9", "+55 11 98765-4321", "+55 (11)3456-7890",
+    "172.16.0.1", "192.168.10.20", "C:\\Users\\ana", "d:/x/y", "\\\\srv\\share", "/Users/ana", "?API_KEY=abcdefgh1", "&sig=0123456789", "api-key: 'abcdef1'", '"Senha"="segred0"', "SECRET_TOKEN='xyz1234'", "http://a.webhook.net/x", "HTTPS://n8n.x/y",
+    "https://x.internal", "https://drive.google.com/file", "1-a.apps.googleusercontent.com", "mailto:a.b@c-d.org", "ftp://u:p@h", "a+b://u:p@h/x", "bearer\t" + "a" * 20, "ya29." + "b" * 20, "github_pat_" + "c" * 30,
+]
 NEGATIVE = {
     "private_key": "-----BEGIN PUBLIC KEY-----", "airtable_legacy_key": "keyabcdefghijklmno", "openai_key": "sk-" + "abcdefghijklmnopqrstuvwx", "aws_key": "AKIA0123", "jwt": "eyJabc.def.ghi", "assigned_secret": 'token = "abc"',
     "airtable_id": "appabcdefghijklmn", "private_ip": "172.32.0.1", "local_path": "xhttp:/home", "cpf": "000.000.000-00", "court_case_bare": "1" * 21, "email": "ana@mail.example.com", "phone": "11 98765", "cep": "00000-000",
@@ -40,10 +49,75 @@ def test_negative(spark):
     assert {k for k in NEGATIVE if (k, k) in scan(spark, NEGATIVE)} == set()
 
 
-def test_hints_match_wherever_patterns_do(spark):
-    df = spark.createDataFrame([(k, t) for k, t in POSITIVE.items()], "c string, t string")
-    for p in PATTERNS:
-        assert df.filter(F.col("t").rlike(p.whole) & ~F.col("t").rlike(p.hint)).isEmpty(), p.category
+def spelled(rng, text):
+    """The text with some digits in other scripts and some letters in the other case or a letter that folds to them."""
+    odd = {"s": "ſ", "k": "\u212a", "i": "ı", "é": "É"}
+    out = []
+    for c in text:
+        r = rng.random()
+        if c.isascii() and c.isdigit() and r < 0.4:
+            c = chr(rng.choice([0x660, 0x6F0, 0x966, 0xFF10, 0x1D7CE]) + int(c))
+        elif r < 0.1:
+            c = odd.get(c.lower(), c)
+        elif r < 0.2:
+            c = c.swapcase()
+        elif r < 0.25 and c == " ":
+            c = rng.choice(["\u00a0", "\u2003", "  "])
+        out.append(c)
+    return "".join(out)
+
+
+def test_no_match_is_left_out_early(spark):
+    """What the pass over a text leaves out, no expression matches: brute force over all patterns and lines of odd spellings."""
+    rng = random.Random(3)
+    texts = [*POSITIVE.values(), *NEGATIVE.values(), *MORE]
+    around = ["", " ", "é", "x", "_", "(", "\u0661", ".", "'", "\ufdd0"]
+    lines = [rng.choice(around) + spelled(rng, rng.choice(texts)) + rng.choice(around) + (rng.choice(texts) if rng.random() < 0.3 else "") for _ in range(4000)]
+    known = Prefilter(spec_of(PATTERNS))
+    tries = [known.tries(t) for t in lines]
+    df = spark.createDataFrame(list(enumerate(zip(lines, tries, strict=True))), "i int, x struct<t:string,tries:array<int>>").select("i", "x.*").repartition(4)
+    every = F.sequence(F.lit(0), F.lit(len(PATTERNS) - 1))
+    left = df.select("t", find_all(F.col("t"), every).alias("all"), find_all(F.col("t"), F.col("tries")).alias("some")).filter("all <> some or all is null").collect()
+    assert [(r.t, r.all, r.some) for r in left] == []
+    assert {x.category for r in df.select(find_all(F.col("t"), F.col("tries")).alias("f")).collect() for x in r.f} == set(POSITIVE)
+
+
+def test_lines_to_try_are_those_of_the_text(spark):
+    text = "a\r\nb ana@" + "corp.net\u2028\nc\x85d 10.1.2.3\x1cé bia@" + "corp.net\n"
+    rows = spark.createDataFrame([(text,), (None,), ("",), ("plain\n",)], "t string").select(lines_to_try(PATTERNS)(F.col("t")).alias("l")).collect()
+    assert [[x.line for x in r.l] for r in rows] == [[2, 5, 6], [], [], []]
+    assert [x.text for x in rows[0].l] == ["b ana@" + "corp.net", "d 10.1.2.3", "é bia@" + "corp.net"]
+
+
+def test_a_pattern_without_hints_is_tried_everywhere(spark):
+    own = [*PATTERNS[:2], Pattern("word", "z+")]
+    df = spark.createDataFrame([("a", "zz\n\nxz"), ("b", None)], "id string, text string")
+    found = scan_patterns(df, patterns=own).collect()
+    assert sorted((r.line, r.category) for r in found) == [(1, "word"), (3, "word")]
+    assert redact(df, patterns=own, placeholders={"word": "W"}).first().text == "W\n\nxW"
+
+
+def test_formats_from_a_table(spark):
+    schema = "category string, starts array<string>, alphabet string, least int, most int"
+    table = spark.createDataFrame([("acme_key", ["acme_", "acm2_"], "A-Z0-9_", 8, None), ("short_id", ["id:"], "a-f0-9", 4, 4)], schema)
+    formats = [*PATTERNS, *token_formats(table)]
+    texts = spark.createDataFrame([("x ACME_1 acme_ABCDEF12_Z id:12af, id:12afc xid:12af",)], "text string").withColumn("id", F.lit(1))
+    assert sorted((r.category, r.snippet) for r in scan_patterns(texts, patterns=formats).collect()) == [("acme_key", "acme*********_Z"), ("short_id", "i******")]
+    bad = [("", ["a"], "a-z", 1, None), ("c", [], "a-z", 1, None), ("c", ["a"], "[a", 1, None), ("c", ["a"], "a-z", 0, None), ("c", ["a"], "a-z", 3, 2), ("c", ["-"], "a-z", 3, None), ("c", [""], "a-z", 3, None)]
+    for row in bad:
+        with pytest.raises(ValueError, match="format|start|alphabet|lengths"):
+            token_formats(spark.createDataFrame([row], schema))
+    with pytest.raises(ValueError, match="over 1"):
+        token_formats(table, most=1)
+
+
+def test_number_signs_and_digits_of_other_scripts(spark):
+    bars = {str(i): t for i, t in enumerate(["OAB/SP n.º. 123.456", "OAB/SP no.º 123.456", "OAB SP n.o. 123456", "oab/rj nº° 1234", "OAB/SP 123.456", "OAB/SP nº 12.345"])}
+    assert scan(spark, bars) == {(k, "bar_number") for k in bars}
+    digits = {"cpf": "١٢٣.٤٥٦.٧٨٩-٠٩", "private_ip": "10.٣٣.٣٣.٣٣", "cnpj": "١٢.٣٤٥.٦٧٨/٠٠٠١-٩٥", "cep": "٠١٣١٠-١٠٠", "phone": "(١١) ٩٨٧٦-٥٤٣٢", "court_case_bare": "١" * 20, "court_case": "١٢٣٤٥٦٧-٨٩.٢٠٢٠.٥.٠١.٠٠٠١"}
+    assert scan(spark, digits) == {(k, k) for k in digits}
+    out = redact(spark.createDataFrame([(k, f"a {t} b") for k, t in {**digits, **bars}.items()], "id string, text string")).collect()
+    assert all(not any(c in r.text for c in "١٢٣٤٥٦٧٨٩") and "123" not in r.text for r in out)
 
 
 def test_unicode_word_edges(spark):
@@ -128,3 +202,4 @@ def test_release_report_counts_what_is_pending(spark):
     got, clean = queries.release_report(spark, path).first(), queries.dataset_clean(spark, path).first()
     assert (got.pending, got.dirs) == (clean.pending, clean.dirs) and got.pending > 0 and not got.passed and not got.intact
     assert got.policy_problems == queries.policy_audit(spark, path).count() > 0
+    assert queries.gate_report(spark, path).first() == got
