@@ -78,13 +78,13 @@ def build_variants(names: DataFrame, generic: tuple[str, ...] = GENERIC, suffixe
 def build_protected(names: DataFrame, key: bytes, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = LEGAL_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(distinct hashes, counts of names and variants by kind). Neither holds a name.
 
-    ``pair`` is the hash of a variant's first two words: a scan hashes only two words at each place to
-    begin with. The column may be dropped, at the price of hashing all sequences.
+    ``pair`` and ``first`` are hashes of a variant's first two words and of its first: a scan hashes only words and pairs to
+    begin with. The columns may be dropped, at the price of hashing all pairs or all sequences.
     """
     variants = build_variants(names, generic, suffixes)
     counts = variants.groupBy("kind").agg(F.countDistinct("name_key").alias("names"), F.countDistinct("variant").alias("variants"))
-    pair = hmac_sha256_20(F.substring_index("variant", " ", 2), key).alias("pair")
-    return variants.select("variant").distinct().select(hmac_sha256_20(F.col("variant"), key).alias("hash"), pair), counts
+    begin = [hmac_sha256_20(F.substring_index("variant", " ", n), key).alias(c) for c, n in (("pair", 2), ("first", 1))]
+    return variants.select("variant").distinct().select(hmac_sha256_20(F.col("variant"), key).alias("hash"), *begin), counts
 
 
 def _greedy(hits: Column) -> Column:
@@ -98,67 +98,86 @@ def _greedy(hits: Column) -> Column:
     )
 
 
-#: Bits of a pair filter: 16 a stored pair, and no more than 2**27 (16 MB), of which 2**21 words come to the driver.
+#: Bits of a filter: 16 a stored pair or word, and no more than 2**27 (16 MB), of which 2**21 words come to the driver.
 FEWEST_BITS, MOST_BITS, BITS_A_PAIR = 1 << 16, 1 << 27, 16
 #: Hex digits of a hash that serve as its places in the filter: the hash is keyed and uniform, so parts of it are hashes of their own.
 _PLACES = (0, 6, 12)
-#: Word pairs whose answers a worker remembers.
-REMEMBERED_PAIRS = 300_000
+#: Words and pairs whose answers a worker remembers.
+REMEMBERED = 300_000
 
 
 def pair_filter(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the stored pairs: 64-bit words of a bitmap. Built by a grouping that combines bits before the shuffle."""
-    pairs = hashes.select("pair").distinct()
-    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_A_PAIR * pairs.count() - 1).bit_length()))
-    places = F.array(*(F.pmod(F.conv(F.substring("pair", i + 1, 8), 16, 10).cast("long"), F.lit(bits)) for i in _PLACES))
-    place = pairs.select(F.explode(places).alias("at"))
+    """A Bloom filter of the stored pairs, and of their first words if ``hashes`` has these: 64-bit words of a bitmap.
+
+    One job sets the bits of the largest bitmap, combining them before the shuffle; the driver gets its words that aren't empty, and folds
+    the bitmap for as long as BITS_A_PAIR bits a pair are left.
+    """
+    columns = [c for c in ("pair", "first") if c in hashes.columns]
+    places = F.array(*(F.pmod(F.conv(F.substring(c, i + 1, 8), 16, 10).cast("long"), F.lit(MOST_BITS)) for c in columns for i in _PLACES))
+    place = hashes.select(F.explode(places).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("at"), F.lit(64)).cast("int"))
     words = place.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
+    out = np.zeros(MOST_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    stored = int(np.bitwise_count(out).sum()) // len(_PLACES) + 1
+    while len(out) * 64 > FEWEST_BITS and len(out) * 32 >= BITS_A_PAIR * stored:
+        half = len(out) // 2
+        out = out[:half] | out[half:]
+    return out
 
 
 class NameScanner:
-    """Hashes of the word sequences of a text that may be stored names: those whose first two words pass the filter, if there is one."""
+    """Hashes of the word sequences of a text that may be stored names: those whose first word, if ``firsts``, and first two words pass the filter, if there is one."""
 
-    def __init__(self, key: bytes, words: np.ndarray | None, generic: tuple[str, ...]):
-        self.of, self.words, self.common = Hmac20(key), words, frozenset((*generic, *PARTICLES))
+    def __init__(self, key: bytes, words: np.ndarray | None, generic: tuple[str, ...], firsts: bool = False):
+        self.of, self.words, self.common, self.firsts = Hmac20(key), words, frozenset((*generic, *PARTICLES)), firsts
         self.mask = 64 * len(words) - 1 if words is not None else 0
         self.known: dict[str, bool] = {}
 
-    def may_begin(self, pair: str) -> bool:
+    def passes(self, message: str) -> bool:
+        """Whether a word or pair is in the filter."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        digits = self.of(message)
+        places = [int(digits[i : i + 8], 16) & self.mask for i in _PLACES]
+        out = self.known[message] = all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in places)
+        return out
+
+    def starts(self, w: list[str]) -> Iterator[int]:
+        """Places of a line's words where a stored name may begin."""
         if self.words is None:
-            return True
-        known = self.known.get(pair)
-        if known is None:
-            if len(self.known) >= REMEMBERED_PAIRS:
-                self.known.clear()
-            digits = self.of(pair)
-            places = [int(digits[i : i + 8], 16) & self.mask for i in _PLACES]
-            known = self.known[pair] = all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in places)
-        return known
+            yield from range(len(w) - 1)
+            return
+        known = self.known
+        for start in range(len(w) - 1):
+            if self.firsts:
+                yes = known.get(w[start])
+                if yes is False or (yes is None and not self.passes(w[start])):
+                    continue
+            pair = f"{w[start]} {w[start + 1]}"
+            yes = known.get(pair)
+            if yes or (yes is None and self.passes(pair)):
+                yield start
 
     def find(self, text: str) -> Iterator[tuple[int, int, int, str]]:
         """(line from 1, first word from 0, words, hash) of each sequence of 2 to WINDOW words that can be a variant."""
         for number, line in enumerate(LINES.split(text), 1):
             w = words_of(line[:LINE_LIMIT])
-            for start in range(len(w) - 1):
-                if self.may_begin(f"{w[start]} {w[start + 1]}"):
-                    for n in range(2, min(WINDOW, len(w) - start) + 1):
-                        some = w[start : start + n]
-                        if len(some[0]) < 2 or len(some[-1]) < 2:
-                            break  # no longer sequence from here is valid either
-                        if not self.common.issuperset(some):
-                            yield number, start, n, self.of(" ".join(some))
+            for start in self.starts(w):
+                for n in range(2, min(WINDOW, len(w) - start) + 1):
+                    some = w[start : start + n]
+                    if len(some[0]) < 2 or len(some[-1]) < 2:
+                        break  # no longer sequence from here is valid either
+                    if not self.common.issuperset(some):
+                        yield number, start, n, self.of(" ".join(some))
 
 
-def _scan(spark: SparkSession, key: bytes, words: np.ndarray | None, generic: tuple[str, ...]) -> Callable[[Column], Column]:
+def _scan(spark: SparkSession, key: bytes, words: np.ndarray | None, generic: tuple[str, ...], firsts: bool) -> Callable[[Column], Column]:
     secret, bitmap = held(spark, key), spark.sparkContext.broadcast(words)
 
     @F.arrow_udf("array<struct<line:int,start:int,n:int,hash:string>>")
     def sequences(texts: pa.Array) -> pa.Array:
-        scanner = NameScanner(secret.value, bitmap.value, generic)
+        scanner = NameScanner(secret.value, bitmap.value, generic, firsts)
         sizes, columns = [0], ([], [], [], [])
         for text in texts.to_pylist():
             for row in scanner.find(text) if text else ():
@@ -178,14 +197,14 @@ def scan_protected(df: DataFrame, hashes: DataFrame, key: bytes | None, allow: D
     ``hashes`` has a column hash; ``allow`` a column sequence of normalised words that never count, while
     shorter ones inside still do. Without a key nothing could be found, so that is an error.
 
-    One pass over the texts hashes two words at each place and looks for them in a Bloom filter of the stored pairs; only from places that pass
-    sequences of 2 to 8 words are hashed, and only these hashes are joined with the stored ones. No word, name or key leaves the
-    pass. If ``hashes`` has no column pair, all sequences are hashed and joined. Only hits are grouped again.
+    One pass over the texts hashes the word at each place, and the two words there, and looks for them in a Bloom filter of the stored names' beginnings;
+    only from places that pass sequences of 2 to 8 words are hashed, and only these hashes are joined with the stored ones. No word, name or key
+    leaves the pass. If ``hashes`` has no column first all pairs are hashed, without pair all sequences. Only hits are grouped again.
     """
     if not key:
         raise ValueError("protected names can't be matched without their key")
     words = pair_filter(hashes) if "pair" in hashes.columns else None
-    found = F.explode(_scan(df.sparkSession, key, words, generic)(F.col(text).cast("string"))).alias("s")
+    found = F.explode(_scan(df.sparkSession, key, words, generic, "first" in hashes.columns)(F.col(text).cast("string"))).alias("s")
     grams = df.select(F.col(id_col).alias("id"), found).select("id", "s.line", "s.start", "s.n", "s.hash")
     if allow is not None:
         grams = grams.join(allow.select(hmac_sha256_20(F.col("sequence"), key).alias("hash")).distinct(), "hash", "left_anti")

@@ -29,9 +29,9 @@ def query(f: Query) -> Query:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One of texts that has fewer splits than there are cores is dealt out to them."""
+    """A given table. One that texts are made of and has fewer splits than there are cores is dealt out to them."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(table) if name in ("documents", "pages") else table
+    return spread(table) if name in ("documents", "pages", "orders", "customer") else table
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
