@@ -153,9 +153,10 @@ def piece_model() -> str:
 
 def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents and where to cut those of more than 4096, read off indexes of all their prefixes."""
+    from ..sources.files import spread
     from .prefix_counts import token_budget
 
-    return token_budget(_table(spark, sf_dir, "documents"), piece_model(), 4096)
+    return token_budget(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), piece_model(), 4096)
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
