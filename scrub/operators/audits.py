@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import to_text
-from .content import BINARY_PROBE, first_of
+from .bounded import first_with_total
+from .content import BINARY_PROBE
 from .media import is_image, scan_image_metadata
 from .paths import classify_name
 from .patterns import scan_patterns
@@ -81,14 +82,12 @@ def first_alerts(alerts: DataFrame, limits: dict[str, int]) -> DataFrame:
     Distinct alerts count. Kinds without a limit are given whole, without ranks. A task hands on no more of a kind than its limit.
     """
     once = alerts.select("kind", "alert").distinct()
-    counts = once.groupBy(F.col("kind").alias("_k")).agg(F.count("*").alias("n"))
     limit = F.when(F.lit(False), F.lit(0))
     for kind, most in limits.items():
         limit = limit.when(F.col("kind") == kind, most)
-    bounded = first_of(once.filter(F.col("kind").isin(*limits)), ["kind"], ["alert"], max(limits.values(), default=0)).filter(F.col("rank") <= limit.otherwise(0))
-    free = once.filter(~F.col("kind").isin(*limits)).withColumn("rank", F.lit(None).cast("int"))
-    both = bounded.unionByName(free).join(counts, F.col("kind") == F.col("_k"))
-    return both.select("kind", "alert", "rank", F.greatest(F.col("n") - F.coalesce(limit.otherwise(None), F.col("n")), F.lit(0)).alias("remaining"))
+    first = first_with_total(once.filter(F.col("kind").isin(*limits)), ["kind"], ["alert"], max(limits.values(), default=0)).filter(F.col("rank") <= limit)
+    free = once.filter(~F.coalesce(F.col("kind").isin(*limits), F.lit(False))).select("kind", "alert", F.lit(None).cast("int").alias("rank"), F.lit(0).cast("long").alias("remaining"))
+    return first.select("kind", "alert", "rank", F.greatest(F.col("total") - limit, F.lit(0)).alias("remaining")).unionByName(free)
 
 
 def audit_policy(files: DataFrame, usage_lines: tuple[str, ...] = USAGE_LINES, entries: tuple[str, ...] = IGNORE_ENTRIES, words: tuple[str, ...] = NOTICE_WORDS, title: str = USAGE_TITLE) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.masking import mask_value
 from ..functions.text import bind, to_text
+from .bounded import first_with_total
 from .paths import classify_name, path_parts
 from .patterns import PATTERNS, PERSONAL, Pattern, find_all
 from .prefilter import lines_to_try
@@ -48,17 +48,15 @@ def classify_content(name_status: Column, ext: Column, size: Column, total: Colu
     )
 
 
-def first_of(rows: DataFrame, by: list[str], order: list[Column | str], keep: int) -> DataFrame:
-    """The first ``keep`` rows of each group with their rank. Each task keeps no more of a group before the shuffle, so a group of any size is no burden."""
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= keep)
-
-
 def _first_findings(extra: DataFrame) -> DataFrame:
-    """(path, _more): the first FINDINGS_KEPT findings of each path, and how many there are."""
+    """(path, _more): the first FINDINGS_KEPT findings of each path, and how many there are, in one pass over them."""
     finding = F.struct(F.col("line").cast("int").alias("line"), "category", "snippet", "source")
-    totals = extra.groupBy("path").agg(F.count("*").cast("int").alias("total"), F.count_if(F.col("category").isin(*PERSONAL)).cast("int").alias("personal"))
-    first = first_of(extra.select("path", finding.alias("f")), ["path"], ["f"], FINDINGS_KEPT).groupBy("path").agg(F.array_sort(F.collect_list("f")).alias("findings"))
-    both = totals.join(first.withColumnRenamed("path", "_p"), F.col("path").eqNullSafe(F.col("_p")))
+    marked = extra.select("path", "line", "category", "snippet", "source", F.when(F.col("category").isin(*PERSONAL), "personal").otherwise("other").alias("kind"))
+    # By kind too, so that both totals come with the rows.
+    first = first_with_total(marked, ["path", "kind"], ["line", "category", "snippet", "source"], FINDINGS_KEPT)
+    own = F.when(F.col("rank") == 1, F.col("total")).otherwise(0)
+    sums = [F.sum(own).cast("int").alias("total"), F.sum(F.when(F.col("kind") == "personal", own).otherwise(0)).cast("int").alias("personal")]
+    both = first.groupBy("path").agg(F.slice(F.array_sort(F.collect_list(finding)), 1, FINDINGS_KEPT).alias("findings"), *sums)  # of 2 * FINDINGS_KEPT at most
     return both.select("path", F.struct("findings", "total", "personal").alias("_more"))
 
 
@@ -123,8 +121,7 @@ def inventory(files: DataFrame, patterns: list[Pattern] | None = None, extra: Da
 
 def cap_findings(found: DataFrame, keep: int = FINDINGS_KEPT) -> DataFrame:
     """First findings of each id in scan order, with the total of all: adds rank and total_findings."""
-    totals = found.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("total_findings"))
-    return first_of(found, ["id"], ["line", "pattern_no", "match_no"], keep).join(totals, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+    return first_with_total(found, ["id"], ["line", "pattern_no", "match_no"], keep, "total_findings")
 
 
 def status_summary(plan: DataFrame) -> DataFrame:
@@ -142,15 +139,14 @@ def file_category_counts(found: DataFrame, lines: int = 15) -> DataFrame:
     """Findings of each id and category, and the first distinct lines. By line first; then no more than ``lines`` lines of an id and category are moved and put together."""
     by_line = found.groupBy("id", "category", "line").agg(F.count("*").alias("n"))
     sums = by_line.groupBy(F.col("id").alias("_id"), F.col("category").alias("_c")).agg(F.sum("n").alias("findings"))
-    first = first_of(by_line, ["id", "category"], ["line"], lines).groupBy("id", "category").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    first = first_with_total(by_line.drop("n"), ["id", "category"], ["line"], lines).groupBy("id", "category").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     return first.join(sums, (F.col("category") == F.col("_c")) & F.col("id").eqNullSafe(F.col("_id"))).select("id", "category", "findings", "lines")
 
 
 def top_k_per_status(plan: DataFrame, k: int = 80) -> DataFrame:
     """First k paths of each status by lower-case path, with how many remain. A task hands on k rows of a status at most."""
-    ranked = first_of(plan.withColumn("_low", F.lower("path")), ["status"], ["_low", "path"], k).drop("_low")
-    counts = plan.groupBy("status").agg(F.greatest(F.count("*") - k, F.lit(0)).alias("remaining"))
-    return ranked.join(counts, "status")
+    ranked = first_with_total(plan.withColumn("_low", F.lower("path")), ["status"], ["_low", "path"], k, "_total")
+    return ranked.withColumn("remaining", F.greatest(F.col("_total") - k, F.lit(0))).drop("_low", "_total")
 
 
 def order_files(files: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -145,6 +145,15 @@ def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir).select("path", "status", "total_findings")
 
 
+@query
+def content_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is scanned of contents made from all documents: as they are, with a zero byte early or late, or very large."""
+    n = F.col("doc_id")
+    odd = F.when(n % 97 == 0, F.rpad("text", content.MAX_TEXT + 1, "x")).when(n % 3 == 0, F.concat(F.left("text", F.lit(50)), F.lit("\0"), F.col("text"))).when(n % 3 == 1, F.concat(F.repeat(F.lit("a"), content.BINARY_PROBE), F.lit("\0")))
+    gate = content.content_gate(F.encode(F.coalesce(odd, F.col("text")), "UTF-8"), F.when(n % 2 == 0, "REVIEW"))
+    return _table(spark, sf_dir, "documents").select("doc_id", gate.alias("g")).select("doc_id", "g.scan", "g.status", "g.reason")
+
+
 @query
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.status_summary(_plan(spark, sf_dir))
@@ -185,6 +194,11 @@ def protected_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.build_protected(_people(spark, sf_dir), KEY)[0].select("hash")
 
 
+@query
+def protected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.build_protected(_people(spark, sf_dir), KEY)[1]
+
+
 @query
 def scan_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of all people in all documents."""
@@ -401,6 +415,25 @@ def term_store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.merge_backup(*_store(spark, sf_dir), ("people", "firms"))[1]
 
 
+def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every third customer in other case and with more blanks, and of lists that don't have them."""
+    c, n = _table(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.filter(n % 3 == 0).select(F.when(n % 2 == 0, "people").otherwise("firms").alias("list"), F.concat(F.lit(" "), F.lower("c_name"), F.lit("  ")).alias("value"))
+
+
+@query
+def term_store_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the store, and how much went from each list."""
+    store, gone = _store(spark, sf_dir)[0], _gone(spark, sf_dir)
+    left = terms.remove_terms(store, gone).select("list", "value", F.lit(0).cast("long").alias("removed"))
+    return left.unionByName(terms.removed_count(store, gone).select("list", F.lit(None).cast("string").alias("value"), "removed"))
+
+
+@query
+def term_store_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.contains_terms(_gone(spark, sf_dir), _store(spark, sf_dir)[0])
+
+
 @query
 def term_store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.store_counts(_store(spark, sf_dir)[0], LISTS)

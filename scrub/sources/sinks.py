@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ def write_plan(files: DataFrame, dirs: DataFrame, run: DataFrame, out: str, root
         df.write.mode("errorifexists").parquet(f"{out}/{name}")
 
 
+def run_record(spark: SparkSession, root: str, mode: str, clean: bool | None = None, term_sources: tuple[str, ...] = (), accepted: tuple[str, ...] = ()) -> DataFrame:
+    """One row that says of a plan or verification what it is of, how and when it was made, and whether it came out clean."""
+    row = (root, mode, datetime.now(timezone.utc), list(term_sources), list(accepted), clean)
+    return spark.createDataFrame([row], "root string, mode string, at timestamp, term_sources array<string>, accepted array<string>, clean boolean")
+
+
 def write_release(copies: DataFrame, content: DataFrame, source: str, destination: str) -> None:
     """Content of the files that the copy plan copies, to a new place."""
     refuse_overlap(source, destination)

@@ -8,14 +8,15 @@ import os
 import random
 import re
 import tracemalloc
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from scrub.functions.masking import hmac_sha256_20
-from scrub.operators import audits, content, names, snapshots, terms
+from scrub.operators import audits, bounded, content, names, snapshots, terms
 from scrub.plans import workflows
-from scrub.sources import files
+from scrub.sources import files, sinks
 from scrub.streaming import scan as streams
 
 KEY = bytes(range(100, 132))
@@ -128,21 +129,40 @@ def test_extra_findings_of_one_file_are_bounded(spark):
     many = spark.createDataFrame([("a.py", i, "email", "s", "x") for i in range(500)] + [(None, 1, "cpf", "s", "x")], "path string, line int, category string, snippet string, source string").repartition(4)
     plan = content.inventory(spark.createDataFrame([("a.py", bytearray(b"x")), (None, bytearray(b"y"))], "path string, content binary"), extra=many)
     got = {r.path: r for r in plan.collect()}
-    assert (got["a.py"].total_findings, len(got["a.py"].findings), got["a.py"].findings[-1].line) == (500, 40, 39) and got[None].total_findings == 1
-    assert "WindowGroupLimit" in plan_of(plan)
+    assert (got["a.py"].total_findings, len(got["a.py"].findings), got["a.py"].findings[-1].line) == (500, 40, 39) and got[None].total_findings == got[None].personal_findings == 1 and got["a.py"].personal_findings == 500
 
 
 def test_top_of_groups_is_cut_before_the_shuffle(spark):
     plan = spark.createDataFrame([(f"F{i:03}", "COPY" if i % 3 else None) for i in range(300)] + [("f001", "COPY")], "path string, status string").repartition(4)
     top = content.top_k_per_status(plan, 5)
-    assert [(r.path, r["rank"], r.remaining) for r in top.orderBy("rank").collect()] == [("F001", 1, 196), ("f001", 2, 196), ("F002", 3, 196), ("F004", 4, 196), ("F005", 5, 196)]
-    assert "WindowGroupLimit" in plan_of(top)
+    assert {r.remaining for r in top.filter("status is null").collect()} == {95}
+    assert [(r.path, r["rank"], r.remaining) for r in top.filter("status is not null").orderBy("rank").collect()] == [("F001", 1, 196), ("f001", 2, 196), ("F002", 3, 196), ("F004", 4, 196), ("F005", 5, 196)]
+    assert plan_of(top).split("== Physical Plan ==")[1].count("Scan ExistingRDD") == 1  # the plan is read once
     found = spark.createDataFrame([(None, 1 + i % 20, 0, i, "email") for i in range(50)] + [("a", 2, 0, 0, "cpf")], "id string, line int, pattern_no int, match_no int, category string")
     counts = {(r.id, r.category): (r.findings, list(r.lines)) for r in content.file_category_counts(found).collect()}
     assert counts == {(None, "email"): (50, list(range(1, 16))), ("a", "cpf"): (1, [2])}
     assert sorted((str(r.id), r["rank"], r.total_findings) for r in content.cap_findings(found, 2).collect()) == [("None", 1, 50), ("None", 2, 50), ("a", 1, 1)]
 
 
+@pytest.mark.parametrize("held", [1, 50_000])
+def test_first_rows_and_totals_of_groups(spark, monkeypatch, held):
+    monkeypatch.setattr(bounded, "HELD_ROWS", held)
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), rng.choice([1, None, (1 << 60) + 1]), rng.choice([None, 3, (1 << 60) + rng.randint(0, 50)]), rng.choice(["é", "z", "", None]), [1]) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, h long, o long, p string, more array<int>").repartition(5)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append(r[2:4])
+    want = sorted((str(g), n, str(v), len(vs)) for g, vs in groups.items() for n, v in enumerate(sorted(vs, key=lambda v: (v[0] is not None, v[0] or 0, v[1] is not None, v[1] or "")), 1) if n <= 7)
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, "40")
+    got = bounded.first_with_total(df.withColumn("sure", F.lit("s")), ["g", "h"], ["o", "p"], 7).collect()
+    spark.conf.set(rows_a_batch, before)
+    assert sorted((str((r.g, r.h)), r["rank"], str((r.o, r.p)), r.total) for r in got) == want and all(r.more == [1] for r in got)
+    assert bounded.first_with_total(df, ["g"], ["o"], 0).count() == 0 == bounded.first_with_total(df.limit(0), ["g"], ["o"], 3).count()
+
+
 def test_alert_limits(spark):
     rows = [("history", f"h{i:02}") for i in range(40)] * 2 + [("source", "s1"), ("folder", "b"), ("folder", "a"), ("pending", "p")]
     alerts = spark.createDataFrame(rows, "kind string, alert string").repartition(3)
@@ -238,6 +258,14 @@ def test_order_of_files_outlives_the_write(spark, tmp_path):
     assert read == sorted(paths, key=lambda p: (p is not None, (p or "").lower(), p or ""))
 
 
+def test_run_record(spark, tmp_path):
+    run = sinks.run_record(spark, "/some/root", "verify", clean=False, term_sources=("a.txt",), accepted=("x",))
+    sinks.write_plan(spark.range(1), spark.range(1), run, str(tmp_path / "plan"), "/some/root")
+    row = spark.read.parquet(str(tmp_path / "plan/run")).first()
+    assert (row.root, row.mode, row.clean, row.term_sources, row.accepted) == ("/some/root", "verify", False, ["a.txt"], ["x"])
+    assert abs((row["at"] - datetime.now()).total_seconds()) < 86_400
+
+
 def test_small_tables_are_dealt_out_and_large_ones_left(spark):
     one = spark.range(10).coalesce(1)
     assert files.spread(one, 3).rdd.getNumPartitions() == 3
