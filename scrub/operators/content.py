@@ -86,12 +86,15 @@ def inventory(files: DataFrame, patterns: list[Pattern] | None = None, extra: Da
     rows = named.withColumn("_gate", gates)
     inside = F.when(F.col("_gate.scan"), findings_of(F.when(F.col("_gate.scan"), to_text(F.col("content"))), patterns=patterns))
     ocr = given("ocr_text", "string")
-    read = F.when(~excluded & ocr.isNotNull(), findings_of(F.when(~excluded, ocr), "ocr", patterns))
     personal = lambda f: F.size(F.filter(f, lambda x: x["category"].isin(*PERSONAL)))
     summed = lambda f: F.struct(F.slice(f, 1, FINDINGS_KEPT).alias("findings"), F.size(f).alias("total"), personal(f).alias("personal"))
     # Generated, so that neither later columns nor filters pushed down from above scan the text again.
     rows = rows.withColumn("_found", F.explode(F.array(bind(inside, summed))))
-    rows = rows.withColumn("_ocr", F.explode(F.array(bind(read, summed)))) if "ocr_text" in files.columns else rows.withColumn("_ocr", F.lit(None).cast(f"struct<findings:{FINDING},total:int,personal:int>"))
+    if "ocr_text" in files.columns:
+        read = F.when(~excluded & ocr.isNotNull(), findings_of(F.when(~excluded, ocr), "ocr", patterns))
+        rows = rows.withColumn("_ocr", F.explode(F.array(bind(read, summed))))
+    else:
+        rows = rows.withColumn("_ocr", F.lit(None).cast(f"struct<findings:{FINDING},total:int,personal:int>"))
     rows = rows.select(
         "path", F.coalesce(given("size", "long"), F.length("content").cast("long")).alias("size"), given("mtime_ns", "long").alias("mtime_ns"), F.when(~excluded, F.coalesce(given("sha256", "string"), F.sha2("content", 256))).alias("sha256"),
         "_name", "_gate", "_found", "_ocr", F.length("content").alias("_length"), F.when(~excluded, F.length(F.trim(ocr))).alias("ocr_chars"),

@@ -199,7 +199,7 @@ def _names_secret(w: Words, match: Any) -> Any:
     name = match
     for sign in ":=\"'":
         name = w.part(name, sign, 1)
-    return w.any(w.has(w.lower(name), s) for s in SECRET_NAMES)
+    return w.matches(w.lower(name), one_of(SECRET_NAMES))
 
 
 def _has_password(w: Words, url: Any) -> Any:
@@ -218,7 +218,7 @@ def _google_document(w: Words, url: Any) -> Any:
 def _private_place(w: Words, url: Any) -> Any:
     low = w.lower(url)
     zones = "|".join(z.removeprefix(".") for z in INTERNAL_ZONES)
-    return w.any([*(w.has(low, s) for s in PRIVATE_SERVICES), w.matches(low, f"[.](?:{zones})(?:[^a-z0-9_]|$)")])
+    return w.any([w.matches(low, one_of(PRIVATE_SERVICES)), w.matches(low, f"[.](?:{zones})(?:[^a-z0-9_]|$)")])
 
 
 def _twenty(w: Words, digits: Any) -> Any:
