@@ -224,6 +224,18 @@ def redact_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redact(_secret_texts(spark, sf_dir)).select("id", "text")
 
 
+#: Stand for confidential terms; found whatever their accents and case.
+REDACTED_TERMS = ("que", "de la", "fur")
+
+
+@query
+def redact_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without REDACTED_TERMS; the hash of the text, its length, and how many placeholders it has."""
+    text = F.col("text")
+    out = redaction.redact_terms(_table(spark, sf_dir, "documents").select("doc_id", "text"), list(REDACTED_TERMS))
+    return out.select("doc_id", F.sha2(text, 256).alias("hash"), F.length(text).alias("chars"), F.regexp_count(text, F.lit("EXEMPLO_TERMO")).cast("long").alias("replaced"))
+
+
 @query
 def redaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redaction_log(_personal_texts(spark, sf_dir))
@@ -474,6 +486,13 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "f.line", "f.category", "f.snippet", "f.source")
 
 
+@query
+def blob_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the history's image blobs hold; equal ones are one blob, named by its smallest path."""
+    blobs = _images(spark, sf_dir).select(F.lit("r").alias("repo_id"), F.sha2("content", 256).alias("sha"), "path", "content")
+    return audits.scan_blobs(blobs, blobs)
+
+
 @query
 def strip_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = media.image_metadata(media.strip_image_metadata(_images(spark, sf_dir)))
