@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any, BinaryIO
 
@@ -29,7 +31,7 @@ class Folder:
     """A folder that all executors see, by a path or URI."""
 
     def __init__(self, root: str):
-        self.root = root.removeprefix("file://").rstrip("/") or "/"
+        self.root = root.removeprefix("file://").removeprefix("file:").rstrip("/") or "/"
         self.fs: Any = None
         if "://" in self.root:
             from pyarrow import fs
@@ -56,6 +58,32 @@ class Folder:
     def open(self, path: str) -> BinaryIO:
         return self.fs.open_input_stream(f"{self.root}/{path}") if self.fs is not None else open(os.path.join(self.root, path), "rb")
 
+    def write(self, path: str, content: bytes, staging: str) -> None:
+        """A file, whole or not at all: it is written beside the tree, below ``staging``, and moved to its place."""
+        target, part = f"{self.root}/{path}", f"{self.root}{staging}/{uuid.uuid4().hex}"
+        if self.fs is not None:
+            self.fs.create_dir(target.rpartition("/")[0], recursive=True)
+            self.fs.create_dir(part.rpartition("/")[0], recursive=True)
+            with self.fs.open_output_stream(part) as f:
+                f.write(content)
+            self.fs.move(part, target)
+            return
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        os.makedirs(os.path.dirname(part), exist_ok=True)
+        with open(part, "wb") as f:
+            f.write(content)
+        os.replace(part, target)
+
+    def discard(self, staging: str) -> None:
+        """What lost tasks left below ``staging``."""
+        if self.fs is None:
+            shutil.rmtree(self.root + staging, ignore_errors=True)
+            return
+        from pyarrow import fs
+
+        if self.fs.get_file_info(self.root + staging).type == fs.FileType.Directory:
+            self.fs.delete_dir(self.root + staging)
+
 
 def list_files(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """(path relative to root, size, mtime_ns, is_symlink, problem) of all files below a folder that all executors see.
