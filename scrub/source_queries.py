@@ -244,7 +244,7 @@ def redact_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)  # a stream's source is a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")  # as a pattern it may be a file as well as a folder
 
 
 def _to_end(rows: DataFrame, name: str) -> DataFrame:
