@@ -50,8 +50,9 @@ def _written_lines(spark: SparkSession, rows: DataFrame, name: str) -> str:
 
 # Trees of files.
 
-#: Each document below a folder of its own, as paths repeat.
-_TREE = f"SELECT concat(cast(doc_id % 100 AS {{S}}), '/', cast(doc_id AS {{S}}), '/', path) AS path, text FROM ({PATHS}) p"
+#: 29 documents in a row share a folder: paths that repeat are of ids 29 or more apart.
+_FOLDER = "concat(cast(cast(floor(doc_id / 29) AS bigint) % 1000 AS {S}), '/', cast(cast(floor(doc_id / 29) AS bigint) AS {S}), '/', path)"
+_TREE = f"SELECT {_FOLDER} AS path, text FROM ({PATHS}) p"
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
@@ -73,7 +74,7 @@ def tree_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT concat(cast(doc_id % 100 AS varchar), '/', cast(doc_id AS varchar), '/', path) AS path, CASE WHEN verdict LIKE 'EXCLUDE%' THEN NULL ELSE sha256(text) END AS sha256,
+    f"""SELECT {O.view(_FOLDER)} AS path, CASE WHEN verdict LIKE 'EXCLUDE%' THEN NULL ELSE sha256(text) END AS sha256,
     CASE WHEN verdict LIKE 'EXCLUDE%' THEN NULL ELSE length(text) END AS chars FROM ({O.CLASSIFIED}) c WHERE path NOT IN (SELECT path FROM ({O.IGNORED}) i) AND text IS NOT NULL"""
 )
 def tree_read(spark: SparkSession, sf_dir: str) -> DataFrame:
