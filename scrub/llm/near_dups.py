@@ -6,7 +6,8 @@ in each view a node holds the fingerprints that share the bits of a random mask,
 by Gray rank, and runs of neighbours are searched with their shared bits factored out. Where a run has more candidate pairs than three
 for each fingerprint, those of two minimum spanning forests by differing bits, which connect at every radius
 what all pairs connect, and each fingerprint's link to the one with most partners are checked, so that
-thousands of near copies give thousands of checks, not millions.
+thousands of near copies give thousands of checks, not millions. That finds most links, and joins large groups cheaply,
+but not all: ``prefix_links`` then finds every link between texts that aren't in one group yet, so none that matters is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, releasing, sieve, sifted
 from .components import components
+from .prefix_links import missed_links
 from .simhash import BLOCK, SEED, gray_rank, leaf_links, shingle_bytes
 
 #: Words of a shingle, and the similarity of a link as a fraction.
@@ -136,7 +138,7 @@ def hub_pairs(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def chosen_pairs(n: int, pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The pairs that are worth an exact check, 3 n at most: two forests, one without the other's pairs, and links to hubs.
+    """The pairs that are worth an exact check at first, 3 n at most; ``missed_links`` decides about the others. Two forests, one without the other's pairs, and links to hubs.
 
     A forest alone would lose copies of one original that differ more from it than, by chance, from one another.
     """
@@ -252,11 +254,32 @@ def verified(edges: DataFrame, docs: DataFrame, ids: DataFrame, width: int = WID
     return both.filter((F.col("common") * similar[1] >= (F.col("total") - F.col("common")) * similar[0]) | (F.col("total") == 0)).select("u", "v")
 
 
+def shingle_sets(named: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, s): the 64-bit hashes of each text's shingles, ascending, of ``named`` (node, text). No shuffle; copies in one task come once, for the most part."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                if len(seen) > 1 << 16:
+                    seen.clear()
+                new = [i for i, node in enumerate(part.column(0).to_pylist()) if not (node in seen or seen.add(node))]
+                sets = [np.sort(shingle_set(part.column(1)[i].as_py(), width).view(np.int64)) for i in new]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(new, pa.int64())), lists], ["node", "s"])
+
+    return named.select("node", "text").mapInArrow(run, "node long, s array<long>")
+
+
 def groups(docs: DataFrame, width: int = WIDTH, most: int = MOST, similar: tuple[int, int] = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(rows, least): rows has doc_id and node of each row; least has node and least, the smallest id of its group, or null.
 
     A node is a text, known by its 64-bit hash (``xxhash64``): equal texts, however many, are one in the
     index. Different texts of one hash would count as copies; among 10**9 texts one such pair has a chance of 3 %.
+    Groups are exact: what the index and its checks link, and every link between the groups that these make.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
 
@@ -269,7 +292,12 @@ def groups(docs: DataFrame, width: int = WIDTH, most: int = MOST, similar: tuple
     rows = materialize(named.mapInArrow(prints, "doc_id long, node long, fp long, fp2 long"), "prints")
     distinct = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min("doc_id").alias("id")), "texts")
     edges = materialize(candidates(distinct, distinct.count(), most), "candidates")
-    named_groups = materialize(components(verified(edges, named, distinct, width, similar)), "components")
+    found = materialize(components(verified(edges, named, distinct, width, similar)), "components")
+    missed = missed_links(materialize(shingle_sets(named, width), "sets"), found, similar)
+    if missed.isEmpty():
+        named_groups = found
+    else:
+        named_groups = materialize(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(missed)), "components")
     least = named_groups.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
     linked = named_groups.join(least, "component").select("node", "least", F.lit(True).alias("linked"))
     out = distinct.join(linked, "node", "left").select("node", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("least"))

@@ -404,6 +404,42 @@ def test_near_copies_of_all_similarities(spark):
     assert gone <= want and len(gone) >= 0.95 * len(want) and len(want) > 100
 
 
+def edited(words, at, word):
+    return [word() if i in at else w for i, w in enumerate(words)]
+
+
+def test_no_link_of_a_dense_group_is_lost(spark):
+    """Each text of an odd id is linked to the one before it alone, among hundreds of nearly as near ones."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, rows = [word() for _ in range(400)], []
+    for i in range(220):
+        at = rng.sample(range(8, 392, 5), 15)
+        first = edited(base, at[:7], word)
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(edited(first, at[7:], word)))]
+    groups = plain_groups(rows)
+    assert all(groups[t] == d - d % 2 for d, t in rows)
+    kept = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2 * i for i in range(220)]
+
+
+def test_links_that_the_index_has_not_met_are_found(spark, rows):
+    """With an index of equal fingerprints alone groups are those of brute force: short texts, copies, texts without words, and near copies of all sizes."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    passage = " ".join(word() for _ in range(30))
+    table = [(r[0], r[1]) for r in rows] + [(70_000 + i, t) for i, t in enumerate(["", " ", "\t \n", "one", "ONE", "one two", "One  two"])]
+    for i in range(90):
+        words = [word() for _ in range(rng.choice([8, 30, 120, 400]))] + passage.split()
+        share = rng.choice([0.0, 0.02, 0.04])
+        copy = [w for w in edited(words, set(rng.sample(range(len(words)), int(share * len(words)))), word)] + [word() for _ in range(rng.randint(0, len(words) // 5))]
+        table += [(80_000 + 2 * i, " ".join(words)), (80_001 + 2 * i, " ".join(copy))]
+    groups = plain_groups(table)
+    kept = near_dups.keep_one(spark.createDataFrame(table, "doc_id long, text string"), most=0)
+    got, want = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None), sorted(d for d, t in table if d is not None and groups[t] == d)
+    assert got == want and len(want) < len(table) - 50
+
+
 def test_minimum_forest_connects_at_every_weight():
     rng = np.random.default_rng(4)
     pairs = np.array(list(itertools.combinations(range(40), 2)))[rng.permutation(780)[:300]]
