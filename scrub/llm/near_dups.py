@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, releasing, sieve, sifted
 from .components import components
-from .prefix_links import missed_links
+from .prefix_links import missed_links, nodes_of
 from .simhash import BLOCK, SEED, gray_rank, leaf_links, shingle_bytes
 
 #: Words of a shingle, and the similarity of a link as a fraction.
@@ -219,8 +219,7 @@ def verified(edges: DataFrame, docs: DataFrame, ids: DataFrame, width: int = WID
     however many, are not shuffled. Edges are sifted by sketches of 128 bytes first, and sets move only for those that may pass. Sets hold the lower 32 bits of
     the hashes: in texts of under 100,000 words that changes a similarity by less than 0.0001.
     """
-    named = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = materialize(named.join(ids.select("node", "id"), "node"), "wanted")
+    wanted = materialize(nodes_of(edges).join(ids.select("node", "id"), "node"), "wanted")
 
     @releasing
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +248,7 @@ def verified(edges: DataFrame, docs: DataFrame, ids: DataFrame, width: int = WID
     most = most_of_sketch(similar)
     a, b = ends(sets, "k")
     edges = materialize(edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(sift, "u long, v long"), "sifted")
-    a, b = ends(sifted(sets, F.col("node"), sieve(edges.select(F.explode(F.array("u", "v")).alias("node")), F.col("node")), inside=True), "s")
+    a, b = ends(sifted(sets, F.col("node"), sieve(nodes_of(edges), F.col("node")), inside=True), "s")
     both = edges.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
     return both.filter((F.col("common") * similar[1] >= (F.col("total") - F.col("common")) * similar[0]) | (F.col("total") == 0)).select("u", "v")
 

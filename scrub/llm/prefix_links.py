@@ -2,8 +2,10 @@
 
 All shingles have one order, common ones last. Two sets of Jaccard similarity t or more share one of the
 first |s| - ceil(t |s|) + 1 of their shingles in it, whatever the order. So sets meet by these, dealt by Spark. Sets that
-are known to be in one component needn't meet. Sizes, places in the sets and the number of first shingles that
-two sets share rule out pairs that can't reach t; the rest are compared in full. Nothing is left to chance, and
+are known to be in one component needn't meet. Two sets that must share o shingles have the first of them at place |s| - o
+or before in each (places from 0), so at any later place they don't meet: with rare shingles first, sets that share many but too
+few seldom have such a place, however many such sets there are. Pairs are told apart by parities of their
+shingles next, which differ in no more bits than the sets in shingles; the rest are compared in full. Nothing is left to chance, and
 no group of sets, however large, is cut.
 """
 
@@ -22,8 +24,9 @@ from .common import materialize, partitions, releasing, sieve, sifted
 #: Shingles that are counted at once, the least count that is told, and the common shingles that come last in the order. These
 #: settle how many pairs meet, not which links are found.
 COUNTED, TOLD, COMMON = 1 << 21, 3, 1 << 17
-#: Rows that a task takes up before it looks for pairs, and the sets of a shingle up to which these are compared by distance.
-HELD, FEW = 1 << 16, 64
+#: Rows that a task takes up before it looks for pairs, the sets of a shingle up to which these are compared by distance, and the
+#: meetings in which a task looks for repeated ones.
+HELD, FEW, MET = 1 << 16, 64, 1 << 20
 #: Rows that a task sorts: at least, where there are so many, and about.
 LEAST_TASK_ROWS, TASK_ROWS = 20_000, 250_000
 
@@ -114,7 +117,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         if not len(batch):
             continue
         label = pc.coalesce(batch.column("label"), batch.column("node"))
-        held.append([c.to_numpy(zero_copy_only=False) for c in (*batch.columns[:3], label, *batch.columns[4:])])
+        held.append([c.to_numpy(zero_copy_only=False) for c in (*batch.columns[:3], label)])
         fresh += len(batch)
         if fresh >= HELD:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -126,22 +129,83 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield mixed([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def _pairs(key: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All places (i, j), i < j, of one key and different labels, in parts; sorted keys."""
+def _pairs(key: np.ndarray, place: np.ndarray, label: np.ndarray, similar: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of one key and different labels, in parts: all where the key may be the first shingle that sets of similarity ``similar`` share.
+
+    Rows come sorted by key and place. Of the sets of a key only those are looked at whose sizes allow for it.
+    """
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(key)))
-    end = np.repeat(start + size, size)
-    i, d = np.flatnonzero(np.repeat(size <= FEW, size)), 1
+    n = np.diff(np.append(start, len(key)))
+    size, at = place >> 32, place & 0xFFFFFFFF
+    bucket = np.repeat(np.arange(len(start)), n) << 32
+    largest = np.maximum(similar[1] * size - (similar[0] + similar[1]) * at, 0) // similar[0]  # that a set no larger meets at this place
+    end = np.searchsorted(bucket | size, bucket | largest, "right")
+
+    def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        needed = _needed(size[i], size[j], similar)
+        first = (label[i] != label[j]) & (at[i] + needed <= size[i]) & (at[j] + needed <= size[j])
+        return i[first], j[first]
+
+    i, d = np.flatnonzero(np.repeat(n <= FEW, n)), 1
     while len(i := i[i + d < end[i]]):
-        some = i[label[i] != label[i + d]]
-        yield some, some + d
+        yield may(i, i + d)
         d += 1
-    for a, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-        names, of, count = np.unique(label[a : a + n], return_inverse=True, return_counts=True)
-        minor = of != np.argmax(count)  # each row that isn't of the largest label against all others
+    for a, m in zip(start[n > FEW].tolist(), n[n > FEW].tolist(), strict=True):
+        of, of_size = label[a : a + m], size[a : a + m]
+        names, count = np.unique(of, return_counts=True)
+        minor = of != names[np.argmax(count)]  # each row that isn't of the largest label against all others
+        low = np.searchsorted(of_size, _least(of_size, similar))
         for x in np.flatnonzero(minor).tolist():
-            other = np.flatnonzero((of != of[x]) & (~minor | (np.arange(n) > x)))
-            yield np.minimum(other, x) + a, np.maximum(other, x) + a
+            other = np.arange(low[x], max(x, end[a + x] - a))
+            other = other[~minor[other] | (other > x)]
+            yield may(np.minimum(other, x) + a, np.maximum(other, x) + a)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """How many hashes, modulo 2, fall to each of a power of two of bits, two for a hash or more."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def parities(named: DataFrame) -> DataFrame:
+    """(node, n, p): size and ``parity`` of each set of ``named`` (node, s)."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [parity(s.values.to_numpy(zero_copy_only=False)) for s in batch.column("s")]
+            size = pc.list_value_length(batch.column("s")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), size, pa.array(of, pa.binary())], ["node", "n", "p"])
+
+    return named.select("node", "s").mapInArrow(run, "node long, n long, p binary")
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which parities differ; the longer ones are folded to the length of the others."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    """(node), each once: the ends of pairs (u, v). Each task first tells its ends apart, so that no row is made for each end of each pair."""
+    return pairs.select(F.col("u").alias("node")).distinct().union(pairs.select(F.col("v").alias("node")).distinct()).distinct()
+
+
+def _near(pairs: DataFrame, marks: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) whose parities, of ``marks`` (node, n, p), don't rule out a similarity of ``similar``."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "n"))
+            most = a + b - 2 * _needed(a, b, similar)
+            p, q = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("p", "q"))
+            near = [_apart(x, y) <= m for x, y, m in zip(p, q, most.tolist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    a, b = marks.select(F.col("node").alias("u"), F.col("n").alias("m"), "p"), marks.select(F.col("node").alias("v"), "n", F.col("p").alias("q"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "m", "n", "p", "q").mapInArrow(sift, "u long, v long")
 
 
 def missed_links(sets: DataFrame, labels: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -157,32 +221,32 @@ def missed_links(sets: DataFrame, labels: DataFrame, similar: tuple[int, int]) -
     shingles = sets.agg(F.sum(F.size("s"))).first()[0] or 0
 
     @releasing
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _buckets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "node", "label"])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, place, node, label in _buckets(batches):
+            held, n = [], 0
 
-    dealt = _by_key(rows, shingles - shingles * similar[0] // similar[1])
-    alive = materialize(dealt.mapInArrow(shared, "key long, place long, node long, label long"), "shared")
-    counted = alive.join(alive.groupBy("node").agg(F.count("*").alias("alive")), "node").select("key", "place", "node", "label", "alive")
+            def told() -> pa.RecordBatch:
+                u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+                order = np.lexsort((v, u))
+                u, v = u[order], v[order]
+                new = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))
+                return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new])], ["u", "v"])
 
-    @releasing
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, place, node, label, alive in _buckets(batches):
-            size, at = place >> 32, place & 0xFFFFFFFF
-            for i, j in _pairs(key, label):
-                near = size[i] * similar[1] >= size[j] * similar[0]  # i is no larger than j
-                i, j = i[near], j[near]
-                needed = _needed(size[i], size[j], similar)
-                later = np.maximum(_least(size[i], similar), _least(size[j], similar)) - 1  # shared beyond the first shingles at most
-                short = needed - later
-                can = (np.minimum(alive[i], alive[j]) >= short) & (np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j]) >= needed)
-                i, j, short = i[can], j[can], short[can]
+            for i, j in _pairs(key, place, label, similar):
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(short)], ["u", "v", "short"])
+                    held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+                    n += len(i)
+                if n >= MET:
+                    yield told()
+                    held, n = [], 0
+            if held:
+                yield told()
 
-    met = _by_key(counted, alive.count()).mapInArrow(meet, "u long, v long, short long").groupBy("u", "v").agg(F.count("*").alias("n"), F.first("short").alias("short"))
-    pairs = materialize(met.filter("n >= short").select("u", "v"), "pairs")
-    named = sifted(sets, F.col("node"), sieve(pairs.select(F.explode(F.array("u", "v")).alias("node")), F.col("node")), inside=True)
+    dealt = _by_key(rows, shingles - shingles * similar[0] // similar[1])
+    met = materialize(dealt.mapInArrow(meet, "u long, v long").distinct(), "met")
+    marks = parities(sifted(sets, F.col("node"), sieve(nodes_of(met), F.col("node")), inside=True))
+    pairs = materialize(_near(met, marks.groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p")), similar), "pairs")
+    named = sifted(sets, F.col("node"), sieve(nodes_of(pairs), F.col("node")), inside=True)
     whole = materialize(named.groupBy("node").agg(F.first("s").alias("s")), "sets")
     a, b = (whole.select(F.col("node").alias(n), F.col("s").alias(s)) for n, s in (("u", "a"), ("v", "b")))
     both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scrub.llm import common, components, mixing, near_dups, packing, pseudo_lm, quality, revisits, sharding, simhash, token_files, tokens, toxicity, winnow
+from scrub.llm import common, components, mixing, near_dups, packing, prefix_links, pseudo_lm, quality, revisits, sharding, simhash, token_files, tokens, toxicity, winnow
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -440,6 +440,55 @@ def test_links_that_the_index_has_not_met_are_found(spark, rows):
     assert got == want and len(want) < len(table) - 50
 
 
+def rows_made(spark, since, pattern):
+    """Output rows of all nodes of the plans run since then (a number of executions) whose name or description matches."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for e in (runs.apply(k).executionId() for k in range(since, runs.size())):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if re.search(pattern, f"{node.name()} {node.desc()}"):
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                total += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return total
+
+
+def near_rows(n, edits):
+    """n texts of 400 words, each one text with some words of its own: any two have a similarity of about (396 - 10 edits) / (396 + 10 edits)."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [word() for _ in range(400)]
+    return [(i, " ".join(edited(base, rng.sample(range(8, 392), edits), word))) for i in range(n)]
+
+
+def test_texts_too_little_alike_meet_once_a_pair_at_most(spark):
+    rows = near_rows(60, 6)
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    kept = near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert kept == len({least for least in plain_groups(rows).values()}) > 40
+    assert 0 < rows_made(spark, since, r"^MapInArrow.*\bmeet\(") <= 60 * 59 // 2
+
+
+def test_no_row_is_made_for_each_end_of_each_candidate(spark):
+    rows = near_rows(120, 3)
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    assert near_dups.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
+    assert rows_made(spark, since, "^MapInArrow.*search") > 120 and rows_made(spark, since, "^Generate") <= 120
+
+
+def test_parities_rule_out_no_similar_pair():
+    """Sets differ in as many shingles as their parities in bits, or more, whatever their sizes."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 31, 32, 33, 120, 900):
+        a = rng.integers(-(1 << 63), 1 << 63, n)
+        b = np.concatenate([a[n // 8 :], rng.integers(-(1 << 63), 1 << 63, n // 6)])
+        x, y = (np.frombuffer(prefix_links.parity(s), np.uint64) for s in (a, b))
+        assert prefix_links._apart(x, x) == 0 and prefix_links._apart(x, y) == prefix_links._apart(y, x) <= len(set(a.tolist()) ^ set(b.tolist()))
+    far = [np.frombuffer(prefix_links.parity(rng.integers(-(1 << 63), 1 << 63, 900)), np.uint64) for _ in "ab"]
+    assert prefix_links._apart(*far) > 400
+
+
 def test_minimum_forest_connects_at_every_weight():
     rng = np.random.default_rng(4)
     pairs = np.array(list(itertools.combinations(range(40), 2)))[rng.permutation(780)[:300]]
