@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from scrub.operators import names
+from scrub.operators import content, names
 from scrub.plans import workflows
 
 KEY = b"k" * 16
@@ -52,3 +52,22 @@ def test_company_endings_of_letters(spark):
     firms = spark.createDataFrame([("Acme Foguetes Transportes S.A.", "company"), ("Acme Beta MEI", "company")], "name string, kind string")
     assert {r.variant for r in names.build_variants(firms).collect()} == {"ACME FOGUETES TRANSPORTES", "ACME FOGUETES", "ACME BETA MEI", "ACME BETA"}
     assert "ACME FOGUETES TRANSPORTES" not in {r.variant for r in names.build_variants(firms, suffixes=("MEI",)).collect()}
+
+
+def test_findings_count_for_all_rows_of_their_path(spark):
+    mail, link = "ana@" + "corp.net", [False] * 8
+    link[6] = True
+    rows = [("x/.gitignore", b"clean"), ("x/.gitignore", mail.encode()), ("x/.gitignore", f"{mail}\n{mail}".encode()), ("y/.gitignore", b"clean"), ("y/.gitignore", b"clean too"), ("x/.gitignore", b"\0"), ("x/.gitignore", b"l"), (None, mail.encode())]
+    files = spark.createDataFrame([(*r, s) for r, s in zip(rows, link, strict=True)], "path string, content binary, is_symlink boolean").repartition(3)
+    plan = content.inventory(files)
+    assert sorted((r.path or "", r.status, r.total_findings, r.personal_findings, len(r.findings)) for r in plan.collect() if r.status != "EXCLUDE") == [
+        ("", "SANITIZE", 1, 1, 1), ("x/.gitignore", "REVIEW", 3, 3, 0), ("x/.gitignore", "SANITIZE", 3, 3, 0), ("x/.gitignore", "SANITIZE", 3, 3, 1), ("x/.gitignore", "SANITIZE", 3, 3, 2),
+        ("y/.gitignore", "COPY", 0, 0, 0), ("y/.gitignore", "COPY", 0, 0, 0),
+    ]
+    assert [r.total_findings for r in plan.filter("status = 'EXCLUDE'").collect()] == [None]
+    extra = spark.createDataFrame([("x/.gitignore", 1, "term", "s", "term")], "path string, line int, category string, snippet string, source string")
+    more = content.inventory(files, extra=extra).filter("path = 'x/.gitignore' and status <> 'EXCLUDE'")
+    assert {(r.total_findings, r.personal_findings) for r in more.collect()} == {(4, 3)}
+    # Five personal values in one data file, though no row of it has as many.
+    data = content.inventory(spark.createDataFrame([("d.txt", f"{mail}\n{mail}".encode()), ("d.txt", f"{mail}\n{mail}\n{mail}".encode())], "path string, content binary"))
+    assert {(r.status, r.personal_findings) for r in data.collect()} == {("REVIEW", 5)}
