@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-QUERIES = ["classify_content", "copy_plan", "dataset_clean", "gate_report", "links_and_unreadable", "status_summary", "top_k_per_status", "written_plan", "releasable"]
+QUERIES = ["classify_content", "copy_plan", "dataset_clean", "gate_report", "links_and_unreadable", "status_summary", "top_k_per_status", "written_plan", "releasable", "release_report"]
 
 
 @pytest.fixture(scope="module")
