@@ -108,6 +108,17 @@ def test_names_equal_a_scan_word_by_word(spark, dropped):
     assert sorted((r.id, r.line, r.start, r.words) for r in found.collect()) == plain_names(texts, variants)
 
 
+def test_only_sequences_that_may_be_stored_leave_the_pass(spark):
+    stored = [f"{a}NA {b}MA {c}ZA" for a, b, c in zip("ABCDEFGH", "HGFEDCBA", "STUVWXYZ", strict=True)] + ["ANA DE SOUZA LIMA PRADO"]
+    hashes, _ = names.build_protected(spark.createDataFrame([(n, "person") for n in stored], "name string, kind string"), KEY)
+    variants = {r.variant for r in names.build_variants(spark.createDataFrame([(n, "person") for n in stored], "name string, kind string")).collect()}
+    scanner = names.NameScanner(KEY, names.pair_filter(hashes), ())
+    text = "\n".join(f"{n} and seven more words are here now" for n in stored)
+    found = [" ".join(n.split()[start : start + k]) for line, start, k, _ in scanner.find(text) for n in [text.split("\n")[line - 1]]]
+    assert {f for f in found if f in variants} >= {"ANA DE SOUZA LIMA PRADO", "ANA HMA SZA", "ANA HMA"}
+    assert len(found) <= 2 * len(stored) + 2 and len(found) - sum(f in variants for f in found) <= 1
+
+
 def test_pair_filter_lets_stored_pairs_pass_and_few_others(spark):
     pairs = [hmac.new(KEY, str(i).encode(), hashlib.sha256).hexdigest()[:20] for i in range(3000)]
     words = names.pair_filter(spark.createDataFrame([(p,) for p in [*pairs, *pairs[:5]]], "pair string").repartition(4))
