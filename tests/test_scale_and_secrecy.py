@@ -114,11 +114,23 @@ def test_only_sequences_that_may_be_stored_leave_the_pass(spark):
     variants = {r.variant for r in names.build_variants(spark.createDataFrame([(n, "person") for n in stored], "name string, kind string")).collect()}
     scanner = names.NameScanner(KEY, names.pair_filter(hashes), ())
     text = "\n".join(f"{n} and seven more words are here now" for n in stored)
-    found = [" ".join(n.split()[start : start + k]) for line, start, k, _ in scanner.find(text) for n in [text.split("\n")[line - 1]]]
+    found = [" ".join(stored[line - 1].split()[at >> 4 : (at >> 4) + (at & 15)]) for _, *columns in scanner.find([None, text]) for line, at in zip(*(c.tolist() for c in columns[:2]), strict=True)]
     assert {f for f in found if f in variants} >= {"ANA DE SOUZA LIMA PRADO", "ANA HMA SZA", "ANA HMA"}
     assert len(found) <= 2 * len(stored) + 2 and len(found) - sum(f in variants for f in found) <= 1
 
 
+@pytest.mark.parametrize("at_once", [1, 40])
+def test_names_are_found_wherever_texts_are_parted(spark, monkeypatch, at_once):
+    monkeypatch.setattr(names, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(names, "REMEMBERED", 3)
+    stored = ["ANA DE SOUZA LIMA PRADO", "JOANA PRADO LIMA"]
+    hashes, _ = names.build_protected(spark.createDataFrame([(n, "person") for n in stored], "name string, kind string"), KEY)
+    scanner = names.NameScanner(KEY, names.pair_filter(hashes), names.GENERIC, ("pair", "first", "hash", "third"))
+    texts = ["x joana prado lima\nana", None, "", "ana de souza lima prado\n\nz ana prado", "joana\nprado"] * 5
+    found = sorted((row, line, at >> 4, at & 15) for table in scanner.find(texts) for row, line, at in zip(*(c.tolist() for c in table[:3]), strict=True))
+    assert found == sorted(x for k in range(0, 25, 5) for x in [(k, 1, 1, 2), (k, 1, 1, 3), (k + 3, 1, 0, 5), (k + 3, 3, 1, 2)])
+
+
 def test_pair_filter_lets_stored_pairs_pass_and_few_others(spark):
     pairs = [hmac.new(KEY, str(i).encode(), hashlib.sha256).hexdigest()[:20] for i in range(3000)]
     words = names.pair_filter(spark.createDataFrame([(p,) for p in [*pairs, *pairs[:5]]], "pair string").repartition(4))
